@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from treelace.llm import decontam
+from treelace.llm.bpe import op3_bpe
+from treelace.llm.decontam import op6_decontaminate
+from treelace.llm.langid import op1_language_id
+from treelace.llm.quality import op8_quality
 from treelace.llm.simhash import op9_simhash
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_bpe": op3_bpe,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": decontam.ORACLE,
+}
