@@ -7,14 +7,18 @@ from treelace.llm.bpe import op3_bpe
 from treelace.llm.decontam import op6_decontaminate
 from treelace.llm.langid import op1_language_id
 from treelace.llm.quality import op8_quality
+from treelace.llm.sharding import op7_kd_shards
 from treelace.llm.simhash import op9_simhash
+from treelace.llm.urlfilter import op10_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_bpe": op3_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op7_kd_shards": op7_kd_shards,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
