@@ -40,7 +40,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 MAX_VOCABULARY = 50_000
 SEED_COUNT = 50
 #: Times that every seed counts as seen in a blocked host, before any host is.
-SEED_SEEN = 5
+SEED_SEEN = 25
 SMOOTHING = 1.0
 #: Characters of the longest word; a longer run is cut where it must be.
 LONGEST = 24
