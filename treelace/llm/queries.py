@@ -10,6 +10,7 @@ from treelace.llm.langid import op1_language_id
 from treelace.llm.quality import op8_quality
 from treelace.llm.sharding import op7_kd_shards
 from treelace.llm.simhash import op9_simhash
+from treelace.llm.suffix import op4_suffix_dedup
 from treelace.llm.urlfilter import op10_url_filter
 from treelace.llm.warc import op5_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_bpe": op3_bpe,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
     "op7_kd_shards": op7_kd_shards,
