@@ -108,6 +108,23 @@ def read_tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame
     return [table(spark, sf_dir, n) for n in names]
 
 
+#: Groups of ids by which the large side of a join is narrowed before it is shuffled.
+BUCKETS = 1 << 18
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in ids; only those that might be are shuffled.
+
+    The others are told by a table of at most BUCKETS hash values, whatever the data.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    near = ids.select(bucket.alias("_near")).distinct()
+    tagged = rows.withColumn("_near", bucket)
+    clear = tagged.join(F.broadcast(near), "_near", "left_anti").select(*rows.columns)
+    asked = tagged.join(F.broadcast(near), "_near", "left_semi").join(ids.select(key), key, "left_anti").select(*rows.columns)
+    return clear.unionByName(asked)
+
+
 def crc_mod(column, n: int):
     """crc32 of a column's text form, modulo n: the fold of a row. A null id gives null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

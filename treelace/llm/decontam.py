@@ -284,6 +284,35 @@ def contamination(matches: DataFrame, ratio: int = RATIO) -> DataFrame:
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(ratio) * F.col("n_hit") >= F.col("n_words")))
 
 
+def filter_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, ratio: int = RATIO, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that aren't contaminated. A benchmark of several blocks asks for unique ids."""
+    spark = docs.sparkSession
+    ship(spark)
+    first = _item_blocks(items, item_id, item_text)
+    block, more = next(first), next(first, None)
+    if more is not None:
+        bad = contamination(find_matches(docs, items, window, doc_id, doc_text, item_id, item_text), ratio).where("contaminated").select(doc_id)
+        return docs.join(bad, doc_id, "left_anti").select(*docs.columns)
+    packed = spark.sparkContext.broadcast(block)
+    at = docs.columns.index(doc_text)
+
+    def run(batches):
+        bench = Benchmark(packed.value, window)
+        for batch in batches:
+            raw, off = utf8(batch.column(at))
+            data = raw.tobytes()
+            keep: list[bool] = []
+            for lo, hi in blocks(np.diff(off)):
+                n_words, d, s, e, _ = _spans(bench, [data[off[i] : off[i + 1]] for i in range(lo, hi)])
+                order = np.argsort(d, kind="stable")
+                cut = np.searchsorted(d[order], np.arange(hi - lo + 1))
+                hit = [sum(b - a for a, b in merged(s[order[x:y]], e[order[x:y]])) if y > x else 0 for x, y in zip(cut, cut[1:])]
+                keep += [not (h and ratio * h >= n) for h, n in zip(hit, n_words.tolist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, items = read_tables(spark, sf_dir, "documents", "benchmark")
     out = contamination(find_matches(docs, items))

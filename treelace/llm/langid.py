@@ -248,6 +248,26 @@ def predict(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_c
     return src.mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
+def filter_rows(docs: DataFrame, model: MixtureModel, text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows, with all their columns, whose main language holds min_share of them or more; `und` goes."""
+    spark = docs.sparkSession
+    ship(spark)
+    packed = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m: MixtureModel = packed.value
+        for batch in batches:
+            raw, off = utf8(batch.column(at))
+            keep: list[bool] = []
+            for lo, hi in blocks(np.diff(off), 1 << 20):
+                b, cut, _ = trigrams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                keep += [bool(x) and float(t[0]) >= min_share for x, t in m.infer_block(b, cut)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     (docs,) = read_tables(spark, sf_dir, "documents")
     fold = crc_mod("doc_id", 4)

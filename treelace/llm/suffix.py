@@ -479,9 +479,10 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack([r[at, 0], top[np.append(at[1:], len(r)) - 1]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """docs with columns n_bytes, spans array<struct<start,end>> (maximal removed runs) and kept binary; kept is null where nothing goes.
 
+    With whole_characters, what is left of a character that a removed run cuts goes from kept too.
     A null text has no bytes. Extra columns stay as they are, unless they are named like these.
     """
     src = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
@@ -511,7 +512,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans.append([{"start": a, "end": b} for a, b in m.tolist()])
                 edges = [0, *m.ravel().tolist(), int(off[i + 1] - off[i])]
                 base = int(off[i])
-                kept.append(b"".join(data[base + a : base + b] for a, b in zip(edges[::2], edges[1::2])) if len(m) else None)
+                left = b"".join(data[base + a : base + b] for a, b in zip(edges[::2], edges[1::2])) if len(m) else None
+                kept.append(left.decode("utf-8", "ignore").encode() if whole_characters and left else left)
             yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "spans", "kept"])
 
     return plain.unionByName(asked.mapInArrow(cut, plain.schema))
