@@ -362,12 +362,12 @@ def _customer_nodes(spark, sf, columns=("c_custkey", "c_name", "c_nationkey")) -
 
 
 @entry("shred_nodes", """
-SELECT 'customer/' || c_custkey AS path, 'object' AS kind, NULL::INTEGER AS tag, NULL::DECIMAL(38,0) AS v_int, NULL::VARCHAR AS v_str FROM customer
+SELECT 'customer/' || c_custkey AS path, 'object' AS kind, NULL::INTEGER AS tag, NULL::BIGINT AS v_int, NULL::VARCHAR AS v_str FROM customer
 UNION ALL SELECT 'customer/' || c_custkey || '/c_custkey', 'leaf', 5, c_custkey, NULL FROM customer
 UNION ALL SELECT 'customer/' || c_custkey || '/c_name', 'leaf', 14, NULL, c_name FROM customer
 UNION ALL SELECT 'customer/' || c_custkey || '/c_nationkey', 'leaf', 4, c_nationkey, NULL FROM customer""")
 def shred_nodes(spark, sf):
-    return _customer_nodes(spark, sf).select("path", "kind", "tag", "v_int", "v_str")
+    return _customer_nodes(spark, sf).select("path", "kind", "tag", F.col("v_int").cast("long").alias("v_int"), "v_str")
 
 
 @entry("shred_lists", f"WITH l AS ({_RANKED_LINES}) SELECT 'o/' || l_orderkey || '/xs[' || pos || ']' AS path, l_quantity AS v_float FROM l UNION ALL SELECT DISTINCT 'o/' || l_orderkey || '/xs', NULL FROM l UNION ALL SELECT DISTINCT 'o/' || l_orderkey, NULL FROM l")
