@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelace.llm.common import blocks, read_tables, ship, utf8
+from treelace.llm.common import blocks, owned, read_tables, ship, task, utf8
 
 #: Fixed value: the pattern of byte-level pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,9 +40,9 @@ def _narrow(letters: str) -> str:
 
 
 #: Distinct words that a worker keeps.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 #: Pairs of tokens whose fit a worker keeps.
-MAX_PAIRS = 1_000_000
+MAX_PAIRS = 200_000
 #: Bytes of a word up to which it goes into the trie; a longer one is encoded alone, in the same way.
 MAX_TRIE_BYTES = 256
 
@@ -267,7 +267,8 @@ class Tokenizer:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_loaded: dict[int, Tokenizer] = {}
+_loaded: dict[str, Tokenizer] = {}
+owned(_loaded.clear)
 
 
 def _worker(packed) -> Tokenizer:
@@ -332,7 +333,7 @@ def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, digests:
                     values = pa.array(np.frombuffer(b"".join(x for x, _ in got), "<u4").astype(np.int32))
                     yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), values)], names=[id_col, "ids"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(task("bpe", run), schema)
 
 
 def default_vocabulary() -> str:

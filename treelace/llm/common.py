@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import io
 import os
@@ -16,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; an Arrow batch is cut into such blocks.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 _tables: dict[str, SparkSession] = {}
 
@@ -27,6 +29,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
+    if spark.conf.get(_BATCH_CONF, None) in (None, "64m", "67108864b"):  # the default; texts are long
+        spark.conf.set(_BATCH_CONF, "16m")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     top = os.path.dirname(root)
     data = io.BytesIO()
@@ -99,6 +103,39 @@ def _cleanup() -> None:
             return
 
 
+_clear: list = []
+_owner = ""
+
+
+def owned(clear) -> None:
+    """Register what empties a module's worker-side cache."""
+    _clear.append(clear)
+
+
+def _trim() -> None:
+    """Give freed memory back to the machine: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def task(tag: str, run):
+    """run for mapInArrow: caches that an earlier operator left in the worker go first, freed memory goes last."""
+
+    def whole(batches):
+        global _owner
+        if _owner != tag:
+            _owner = tag
+            for clear in _clear:
+                clear()
+            _trim()
+        yield from run(batches)
+        _trim()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

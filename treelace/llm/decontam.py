@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelace.llm.common import blocks, read_tables, ship, utf8
+from treelace.llm.common import blocks, read_tables, ship, task, utf8
 
 WINDOW = 13
 #: A document is contaminated if at least 1 in RATIO of its words is hit.
 RATIO = 20
 #: Bytes of benchmark text that are sent to the executors at once.
-MAX_ITEM_BYTES = 16 << 20
+MAX_ITEM_BYTES = 1 << 20
 
 #: Bytes that are not part of a word become spaces, A-Z become a-z, all else stays.
 _FOLD = bytes(
@@ -250,7 +250,7 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id
                         names=[doc_id, "n_words", "spans", "item_ids", "row"],
                     )
 
-        parts.append(src.mapInArrow(run, schema).drop("row"))
+        parts.append(src.mapInArrow(task("decontam", run), schema).drop("row"))
     if len(parts) == 1:
         return parts[0]
     # more blocks than one: matches of each are joined by row
@@ -270,7 +270,7 @@ def _join_blocks(src: DataFrame, parts: list[DataFrame], doc_id: str, kind: str)
             spans = [[{"start": x, "end": y} for x, y in merged(np.array([s["start"] for s in row], np.int64), np.array([s["end"] for s in row], np.int64))] for row in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, b.schema.field(2).type), b.column(3)], names=b.schema.names)
 
-    return flat.mapInArrow(run, flat.schema)
+    return flat.mapInArrow(task("decontam", run), flat.schema)
 
 
 def contamination(matches: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -310,7 +310,7 @@ def filter_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, ratio:
                 keep += [not (h and ratio * h >= n) for h, n in zip(hit, n_words.tolist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task("decontam", run), docs.schema)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelace.llm.common import materialize, read_tables, ship
+from treelace.llm.common import materialize, read_tables, ship, task
 from treelace.llm.components import components
 
 THRESHOLD = 0.95
@@ -88,7 +88,7 @@ def _packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             raw = [x[e - k : e].tobytes() if cum_wrong[e] == cum_wrong[e - k] and cum_live[e] > cum_live[e - k] else None for k, e in zip(n.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, raw binary"), dtype
+    return src.mapInArrow(task("embdedup", run), f"id {src.schema['id'].dataType.simpleString()}, raw binary"), dtype
 
 
 def _unit(raw: list[bytes], dtype) -> np.ndarray:
@@ -199,7 +199,7 @@ def link_counts(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], names=["rep", "keys"])
 
     kind = classes.schema["rep"].dataType.simpleString()
-    member = classes.select("rep", "raw").mapInArrow(hashed, f"rep {kind}, keys array<long>").select("rep", F.posexplode("keys").alias("t", "key"))
+    member = classes.select("rep", "raw").mapInArrow(task("embdedup", hashed), f"rep {kind}, keys array<long>").select("rep", F.posexplode("keys").alias("t", "key"))
     sizes = member.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = member.join(sizes, ["t", "key"])
     cut = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -234,7 +234,7 @@ def link_counts(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links), pa.array(root)], names=["rep", "links", "root"])
 
     rows = rows.select("rep", "t", "key", "ci", "cj", "side", "raw", "weight")
-    found = materialize(rows.mapInArrow(linked, f"rep {kind}, links long, root {kind}"), "emb-links")
+    found = materialize(rows.mapInArrow(task("embdedup", linked), f"rep {kind}, links long, root {kind}"), "emb-links")
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     full = (

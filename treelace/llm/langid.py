@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelace.llm.common import blocks, crc_mod, read_tables, ship, utf8
+from treelace.llm.common import blocks, crc_mod, read_tables, ship, task, utf8
 
 N_BUCKETS = 1 << 16
 #: Labelled documents that the model is fitted on at most, by the order of a hash of their ids.
@@ -203,7 +203,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"])
 
     src = use.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
-    got = src.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = src.mapInArrow(task("langid", run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((len(langs), N_BUCKETS))
     where = {x: k for k, x in enumerate(langs)}
@@ -245,7 +245,7 @@ def predict(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_c
                 )
 
     kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    return src.mapInArrow(task("langid", run), f"{id_col} {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def filter_rows(docs: DataFrame, model: MixtureModel, text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
@@ -265,7 +265,7 @@ def filter_rows(docs: DataFrame, model: MixtureModel, text_col: str = "text", mi
                 keep += [bool(x) and float(t[0]) >= min_share for x, t in m.infer_block(b, cut)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task("langid", run), docs.schema)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

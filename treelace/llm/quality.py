@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelace.llm.common import blocks, crc_mod, read_tables, ship, utf8
+from treelace.llm.common import blocks, crc_mod, read_tables, ship, task, utf8
 
 BITS = 18
 N_FEATURES = 1 << BITS
@@ -168,7 +168,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(lists, pa.binary()), batch.column(2).slice(lo, hi - lo)], names=["label", "idx", "at"])
 
     src = use.select(F.col(text_col).cast("string"), F.col(label_col).cast("double"), F.xxhash64(id_col))
-    got = src.mapInArrow(run, "label double, idx binary, at long").toArrow().sort_by("at")
+    got = src.mapInArrow(task("quality", run), "label double, idx binary, at long").toArrow().sort_by("at")
     rows = [np.frombuffer(x, "<i4") for x in got.column("idx").to_pylist()]
     return fit(rows, np.array(got.column("label").to_pylist(), float))
 
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: NBSVM, id_col: str = "doc_id", text_col: str =
                 s = m.score(m.margins(row, idx, hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return src.mapInArrow(task("quality", run), f"{id_col} {src.schema[id_col].dataType.simpleString()}, score double, predicted int")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from itertools import combinations, repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelace.llm.common import blocks, materialize, ship, utf8
+from treelace.llm.common import blocks, materialize, ship, task, utf8
 from treelace.llm.components import components
 
 SHINGLE = 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
 
     src = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, fp long")
+    return src.mapInArrow(task("simhash", run), f"{id_col} {src.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def _byte(col, k: int):

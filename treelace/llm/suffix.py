@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelace.llm.common import free_shuffles, materialize, read_tables, release, ship, utf8
+from treelace.llm.common import free_shuffles, materialize, owned, read_tables, release, ship, task, utf8
 
 SPAN = 100
 #: Bytes of an anchor; a window has SPAN - GRAM + 1 of them.
 GRAM = 40
 #: Text that one vectorised step works on; a longer text is taken in slices that overlap by SPAN - 1 bytes.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Suffix text of one array.
 ARRAY_BYTES = 1 << 20
 #: Classes of an anchor beyond which its windows meet one by one; the shares of a block and of all rows that make one.
@@ -49,6 +49,7 @@ _POS = np.uint64((1 << 30) - 1)
 _BASE = 0xD6E8FEB86659FD93
 _INV = pow(_BASE, -1, 1 << 64)
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+owned(_cache.clear)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +284,7 @@ def _hot_anchors(src: DataFrame) -> list[int]:
                 often = n >= HOT_IN_BLOCK
                 yield pa.RecordBatch.from_arrays([pa.array(a[often]), pa.array(n[often].astype(np.int64))], names=["anchor", "n"])
 
-    sums = src.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    sums = src.mapInArrow(task("suffix", run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     return [r["anchor"] for r in sums.where(F.col("n") >= HOT_CLASSES).orderBy(F.desc("n"), "anchor").limit(MAX_HOT).collect()]
 
 
@@ -302,14 +303,15 @@ def _classes(src: DataFrame, hot: list[int]) -> DataFrame:
                 order, again = _local(doc, th, start, many, anchor, body)
                 h = packed_hot.value
                 is_hot = np.isin(anchor, h) if len(h) else np.zeros(len(anchor), bool)
-                # dealt out by anchor; by class where the anchor is hot or nothing is left to decide
+                # dealt out by anchor; by class where the anchor is hot; anyhow where nothing is left to decide
                 repeated = np.zeros(len(anchor), bool)
                 repeated[order] = again
-                deal = np.where(is_hot | repeated, body, anchor)
+                anyhow = doc.astype(np.int64) * np.int64(0x9E3779B97F4A7C1) + th + start * np.int64(0x85EBCA77C2B2AE3)
+                deal = np.where(repeated, anyhow, np.where(is_hot, body, anchor))
                 kind = np.where(repeated, REPEATED, np.where(is_hot, HOT, SHARED)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, kind, anchor, body, doc, th, start.astype(np.int32), many.astype(np.int32))], names=["deal", "kind", "anchor", "body", "doc", "th", "start", "many"])
 
-    rows = src.mapInArrow(scan, "deal long, kind int, anchor long, body long, doc long, th long, start int, many int")
+    rows = src.mapInArrow(task("suffix", scan), "deal long, kind int, anchor long, body long, doc long, th long, start int, many int")
     rows = rows.repartition("deal").sortWithinPartitions("deal", "kind", "anchor", "body", "doc", "th", "start")
 
     def decide(batches):
@@ -336,7 +338,7 @@ def _classes(src: DataFrame, hot: list[int]) -> DataFrame:
             held = held.slice(end)
             yield pa.RecordBatch.from_arrays([pa.array(np.where(gone, REPEATED, k)[keep].astype(np.int32)), *(part.column(x) for x in (2, 4, 5, 6, 7))], names=["kind", "anchor", "doc", "th", "start", "many"])
 
-    return rows.mapInArrow(decide, _ROW)
+    return rows.mapInArrow(task("suffix", decide), _ROW)
 
 
 def _flushed(batches):
@@ -382,7 +384,7 @@ def _shared_ranges(src: DataFrame, classes: DataFrame) -> DataFrame:
             for k in range(0, b.num_rows, 50_000):
                 yield b.slice(k, 50_000)
 
-    rows = _with_texts(src, asked).select("doc", "th", "text", "asked").mapInArrow(cut, "anchor long, doc long, th long, start int, many int, body binary")
+    rows = _with_texts(src, asked).select("doc", "th", "text", "asked").mapInArrow(task("suffix", cut), "anchor long, doc long, th long, start int, many int, body binary")
     rows = rows.repartition("anchor").sortWithinPartitions("anchor")
 
     def find(batches):
@@ -405,7 +407,7 @@ def _shared_ranges(src: DataFrame, classes: DataFrame) -> DataFrame:
                     done = int(edges[e])
             held = held.slice(done)
 
-    return rows.mapInArrow(find, "doc long, th long, start int, end int")
+    return rows.mapInArrow(task("suffix", find), "doc long, th long, start int, end int")
 
 
 def _array_ranges(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -441,7 +443,7 @@ def _hot_ranges(src: DataFrame, classes: DataFrame) -> DataFrame:
 
         yield from _cut(batches, each)
 
-    rows = materialize(_with_texts(src, asked).select("doc", "th", "text", "asked").mapInArrow(cut, "digest binary, doc long, th long, start int"), "sa-hot")
+    rows = materialize(_with_texts(src, asked).select("doc", "th", "text", "asked").mapInArrow(task("suffix", cut), "digest binary, doc long, th long, start int"), "sa-hot")
     where = F.struct("doc", "th", "start")
     first = rows.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     return rows.join(first, "digest").where(where != F.col("first")).select("doc", "th", "start", (F.col("start") + SPAN).alias("end"))
@@ -516,7 +518,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(left.decode("utf-8", "ignore").encode() if whole_characters and left else left)
             yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "spans", "kept"])
 
-    return plain.unionByName(asked.mapInArrow(cut, plain.schema))
+    return plain.unionByName(asked.mapInArrow(task("suffix", cut), plain.schema))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

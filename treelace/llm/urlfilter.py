@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelace.llm.common import read_tables, ship
+from treelace.llm.common import read_tables, ship, task
 
 #: Words that mark a host to be blocked.
 BLOCK_SEEDS = (
@@ -38,9 +38,10 @@ PLAIN = frozenset({"www", "m", "com", "org", "net", "http", "https", "html"})
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Words of the unigram model, the most frequent first, and tokens of the naive Bayes model.
 MAX_VOCABULARY = 50_000
-SEED_COUNT = 50
-#: Times that every seed counts as seen in a blocked host, before any host is.
-SEED_SEEN = 25
+#: Times that a seed word counts as seen at least.
+MIN_SEED = 200
+#: A token that more than this share of the hosts, or of the urls, has says nothing of them.
+COMMON = 0.1
 SMOOTHING = 1.0
 #: Characters of the longest word; a longer run is cut where it must be.
 LONGEST = 24
@@ -125,22 +126,24 @@ class HostModel:
 
     def score(self, host: str, path: str) -> float:
         """Log-odds of `block`; tokens that were never seen, and plain labels, don't count."""
-        t = [w for w in self.segmenter.tokens(host) + self.segmenter.tokens(path) if w not in PLAIN]
+        t = [w for w in self.segmenter.tokens(host) if w not in PLAIN] + ["/" + w for w in self.segmenter.tokens(path)]
         return sum(self.odds.get(w, 0.0) for w in t)
 
 
 def learn(urls: DataFrame) -> HostModel:
-    """Fit both models on urls(host, path): unigrams of all rows' parts, tokens of all distinct hosts.
+    """Fit both models on urls(host, path): unigrams by the hosts that have them, host tokens by hosts, path tokens by urls.
 
     The executors count; the driver gets the MAX_VOCABULARY most frequent words and tokens.
     """
     spark = urls.sparkSession
     ship(spark)
-    parts = urls.select(F.explode(F.split(F.lower(F.concat_ws(" ", "host", "path")), r"[^\p{L}\p{N}]+")).alias("w")).where("w <> '' and w rlike '[^0-9]'")
+    parts = urls.select("host", F.explode(F.split(F.lower(F.concat_ws(" ", "host", "path")), r"[^\p{L}\p{N}]+")).alias("w")).where("w <> '' and w rlike '[^0-9]'").distinct()
     words = parts.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MAX_VOCABULARY).collect()
     counts = {r["w"]: r["n"] for r in words}
-    for w in (*BLOCK_SEEDS, *WORD_SEEDS):
-        counts[w] = counts.get(w, 0) + SEED_COUNT
+    seeds = (*BLOCK_SEEDS, *WORD_SEEDS)
+    weight = max(MIN_SEED, sum(counts.values()) // len(seeds))  # the seeds weigh as much as all that is seen
+    for w in seeds:
+        counts[w] = counts.get(w, 0) + weight
     segmenter = Segmenter(counts)
     packed = spark.sparkContext.broadcast(segmenter)
 
@@ -148,20 +151,29 @@ def learn(urls: DataFrame) -> HostModel:
         s: Segmenter = packed.value
         for batch in batches:
             w, k = [], []
-            for host in batch.column(0).to_pylist():
+            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = s.tokens(host)
                 bad = any(x in _BAD for x in t)
-                t = [x for x in dict.fromkeys(t) if x not in PLAIN]
+                if path is None:
+                    t = ["", *(x for x in dict.fromkeys(t) if x not in PLAIN)]  # the empty token counts hosts
+                else:
+                    t = ["/", *("/" + x for x in dict.fromkeys(s.tokens(path)))]  # and the slash counts urls
                 w += t
                 k += [bad] * len(t)
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(k, pa.bool_())], names=["w", "bad"])
 
-    got = urls.where("host <> ''").select("host").distinct().mapInArrow(run, "w string, bad boolean")
-    got = got.groupBy("w").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad")).orderBy(F.desc(F.col("good") + F.col("bad")), "w").limit(MAX_VOCABULARY).collect()
+    known = urls.where("host <> ''")
+    rows = known.select("host").distinct().withColumn("path", F.lit(None).cast("string")).unionByName(known.select("host", "path").distinct())
+    got = rows.mapInArrow(task("urlfilter", run), "w string, bad boolean")
+    got = got.groupBy("w").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad")).orderBy(F.desc(F.col("w").isin("", "/")), F.desc(F.col("good") + F.col("bad")), "w").limit(MAX_VOCABULARY).collect()
     table = {r["w"]: (r["good"], r["bad"]) for r in got}
+    hosts, seen = (sum(table.pop(x, (0, 0))) for x in ("", "/"))
+    table = {w: c for w, c in table.items() if sum(c) <= max(1, COMMON * (seen if w[0] == "/" else hosts))}
+    # the seeds weigh as much as all that is known of allowed hosts
+    weight = max(1, math.ceil(sum(a for a, _ in table.values()) / len(BLOCK_SEEDS)))
     for w in BLOCK_SEEDS:
         a, b = table.get(w, (0, 0))
-        table[w] = (a, b + SEED_SEEN)
+        table[w] = (a, b + weight)
     return HostModel(segmenter, table)
 
 
@@ -191,7 +203,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_co
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdicts, pa.string()), pa.array(odds, pa.float64())], names=[id_col, "host", "path", "rule", "verdict", "block_odds"])
 
     kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"{id_col} {kind}, host string, path string, rule string, verdict string, block_odds double")
+    return src.mapInArrow(task("urlfilter", run), f"{id_col} {kind}, host string, path string, rule string, verdict string, block_odds double")
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
