@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from treelace.functions.errors import IndexArity, IndexNotFound, SchemaMismatch,
 from treelace.functions.paths import Path, Pattern
 from treelace.functions.scalars import Scalar, label_of, scalar
 from treelace.operators.entity import Entities
+from treelace.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -175,6 +176,22 @@ def find(entities: Entities, index: IndexDef, values=()) -> DataFrame:
     return query(entities, index).prefixed(values).run()
 
 
+def ranked(q: IndexQuery, *cols) -> DataFrame:
+    """(rank long, cols...): the query's rows with their places in its order, from 1.
+
+    The rows are sorted over all partitions and written; a row's place is its place in its
+    partition plus the sizes of those before, so no task sees all rows.
+    """
+    at = F.monotonically_increasing_id().alias("_at")  # partition number, and place in the partition in the lower 33 bits
+    rows = written(q.filtered().df.orderBy(*q.order()).select(*cols, at))
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = rows.groupBy(part).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    names = rows.columns[:-1]
+    placed = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part")
+    return placed.select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"), *names)
+
+
 def violations(entities: Entities, index: IndexDef) -> DataFrame:
     """(c0, c1, ..., n): column values that more than one entity has. A missing column is null, and nulls collide."""
     cols = [(entities.column(c.path) if entities.type_at(c.path) is not None else F.lit(None).cast("string")).alias(f"c{k}") for k, c in enumerate(index.columns)]

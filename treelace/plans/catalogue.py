@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +15,7 @@ from treelace.functions.value import of
 from treelace.operators import collections as C
 from treelace.operators import nodes as N
 from treelace.operators.entity import Entities
-from treelace.operators.index import IndexColumn, IndexDef, query, violations
+from treelace.operators.index import IndexColumn, IndexDef, query, ranked, violations
 from treelace.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +35,6 @@ def entry(name: str, sql: str | None):
     return add
 
 
-def ranked(q, *cols) -> DataFrame:
-    """Rows of an index query with their place in its order. A rank over all rows is what such a report asks for."""
-    return q.filtered().df.select(F.row_number().over(W.orderBy(*q.order())).cast("long").alias("rank"), *cols)
-
-
 # ---- reads
 
 
