@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelace.llm import bpe, decontam, langid, simhash, suffix
-from treelace.llm.common import crc_mod, materialize, table, without
+from treelace.llm.common import crc_mod, materialize, only, table, without
 
 
 def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = simhash.near_duplicates(docs).where("doc_id is not null")
     ids = materialize(ids.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") == F.col("component_id")).alias("stays")), "pipeline-groups")
     once = without(docs, ids.where("stays = 0 or n > 1").select("doc_id"), "doc_id")
-    again = docs.join(ids.where("stays > 0 and n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    again = only(docs, ids.where("stays > 0 and n > 1").select("doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
     return _columns(once.unionByName(again), docs)
 
 

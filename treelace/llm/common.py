@@ -162,6 +162,14 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return clear.unionByName(asked)
 
 
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ids, narrowed in the same way before the shuffle."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    near = ids.select(bucket.alias("_near")).distinct()
+    asked = rows.withColumn("_near", bucket).join(F.broadcast(near), "_near", "left_semi")
+    return asked.join(ids.select(key), key, "left_semi").select(*rows.columns)
+
+
 def crc_mod(column, n: int):
     """crc32 of a column's text form, modulo n: the fold of a row. A null id gives null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
