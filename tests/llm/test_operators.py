@@ -179,6 +179,20 @@ def test_repeats_equal_brute_force(docs, none, monkeypatch, hot):
     assert sum(len(r.spans) for r in got.values()) > 8 and suffix.remove_repeats(none.drop("spans")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [5000, 2])
+def test_repeated_rows_lose_nothing_of_themselves(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT_CLASSES", hot)
+    monkeypatch.setattr(suffix, "HOT_IN_BLOCK", 2 if hot == 2 else 8)
+    texts = [(None, sentence(60, 1)), (1, sentence(60, 2)), (2, sentence(30, 3) + sentence(60, 2)), (3, "no copy"), (4, sentence(50, 4) + sentence(50, 4)), (5, sentence(60, 1) + " tail"), (6, None)]
+    rows = texts + [texts[k] for k in (0, 0, 1, 2, 4, 5, 6)]
+    want = {r[0]: r[1:] for r in suffix.brute_force([(-1 if k is None else k, (t or "").encode()) for k, t in texts])}  # a null id is the smallest
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(k) for k, _ in rows)
+    for r in got:
+        kept = bytes(r.kept) if r.kept is not None else (r.text or "").encode()
+        assert (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(kept).hexdigest()) == want[-1 if r.doc_id is None else r.doc_id], r.doc_id
+
+
 def test_two_stage_sorting():
     r = np.random.default_rng(1)
     for _ in range(20):

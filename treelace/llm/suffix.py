@@ -273,6 +273,18 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def _once(src: DataFrame) -> DataFrame:
+    """src with repeated rows once; only texts whose (doc, th) may be repeated are shuffled, and that once."""
+    again = materialize(src.groupBy("doc", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "sa-again")
+    if again.isEmpty():
+        return src
+    bucket = F.pmod(F.xxhash64("doc"), F.lit(BUCKETS))
+    near = F.broadcast(again.select(bucket.alias("near")).distinct())
+    tagged = src.withColumn("near", bucket)
+    once = materialize(tagged.join(near, "near", "left_semi").select(*src.columns).distinct(), "sa-once")
+    return tagged.join(near, "near", "left_anti").select(*src.columns).unionByName(once)
+
+
 def _hot_anchors(src: DataFrame) -> list[int]:
     """Anchors with very many classes: at most MAX_HOT, whatever the data. The result decides how work is dealt out, never what is found."""
 
@@ -458,7 +470,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ship(spark)
-    src = _identified(docs, id_col, text_col)
+    src = _once(_identified(docs, id_col, text_col))
     hot = _hot_anchors(src)
     classes = materialize(_classes(src, hot), "sa-classes")
     free_shuffles(spark)
