@@ -384,6 +384,13 @@ def test_urls(spark):
     assert urlfilter.judge(df.where("false")).count() == 0
 
 
+def test_hot_joined_names_are_split(spark):
+    urls = [f"http://{sub}freebets.{top}/{sub}{k}" for sub in ("", "www.", "m.", "blog.", "shop.", "x7.") for top in ("net", "org", "co") for k in range(40)]
+    urls += [f"http://{sub}quietriver.net/{k}" for sub in ("", "www.", "m.", "blog.") for k in range(30)]
+    got = {(r.host, r.verdict) for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=()).collect()}
+    assert all(v == ("block" if "freebets" in h else "allow") for h, v in got) and len(got) == 22
+
+
 def test_segmentation():
     s = urlfilter.Segmenter({"free": 10, "bets": 10, "cheap": 5, "pills": 5, "be": 1, "ts": 1})
     assert s.split("freebets") == ("free", "bets") and s.split("cheappills") == ("cheap", "pills") and s.split("123") == ("#",)

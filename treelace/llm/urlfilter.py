@@ -1,23 +1,25 @@
 """URL filters: rules first, else host word segmentation and naive Bayes.
 
 Names without separators are split into words by Viterbi decoding under a unigram model whose words
-are the separated parts of all hosts and paths and a fixed list of English seeds. The segmented
-tokens of host and path are scored by a multinomial naive Bayes model of two classes. No table
-labels URLs, so the classes are seeded: a host whose segmentation has a word of BLOCK_SEEDS teaches
-`block`, every other one `allow`, and what stands beside the seeds is learned from all distinct hosts.
+are a fixed list of English seeds and the separated parts of all hosts and paths, each counted once
+for a registered domain; a part that splits into other words of the model is a joined name and no
+word, however frequent. The segmented tokens of host and path are scored by multinomial naive Bayes
+models of two classes. No table labels URLs, so the classes are seeded: a host whose segmentation has
+a word of BLOCK_SEEDS teaches `block`, every other one `allow`, and what stands beside the seeds is
+learned from all distinct hosts and urls. Words, counts and odds are tables that are joined; none is
+cut to a size or held by one process.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelace.llm.common import read_tables, ship, task
+from treelace.llm.common import materialize, read_tables, ship, task
 
 #: Words that mark a host to be blocked.
 BLOCK_SEEDS = (
@@ -36,16 +38,11 @@ WORD_SEEDS = (
 PLAIN = frozenset({"www", "m", "com", "org", "net", "http", "https", "html"})
 #: (verdict, host, path prefix) of the rules of the query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Words of the unigram model, the most frequent first, and tokens of the naive Bayes model.
-MAX_VOCABULARY = 50_000
 #: Times that a seed word counts as seen at least.
 MIN_SEED = 200
-#: A token that more than this share of the hosts, or of the urls, has says nothing of them.
-COMMON = 0.1
 SMOOTHING = 1.0
 #: Characters of the longest word; a longer run is cut where it must be.
 LONGEST = 24
-_PARTS = re.compile(r"[^\W_]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,113 +68,143 @@ def rule_and_verdict(host: Column, path: Column, rules: Iterable[tuple[str, str,
     return name, verdict
 
 
+def viterbi(name: str, cost: dict[str, float], total: int) -> tuple[str, ...]:
+    """The likeliest words of name; the cost of one that has none given falls tenfold with each character."""
+    if name.isdigit():
+        return ("#",)
+    unknown, tenfold = math.log(total), math.log(10)
+    best, back = [0.0], [0]
+    for end in range(1, len(name) + 1):
+        low = None
+        for start in range(max(0, end - LONGEST), end):
+            w = name[start:end]
+            c = best[start] + (cost[w] if w in cost else unknown + (end - start - 1) * tenfold)
+            if low is None or c < low[0]:
+                low = (c, start)
+        best.append(low[0])
+        back.append(low[1])
+    out, end = [], len(name)
+    while end:
+        out.append(name[back[end] : end])
+        end = back[end]
+    return tuple(out[::-1])
+
+
 class Segmenter:
-    """Splits a name into the likeliest words of a unigram model."""
+    """Splits a name into the likeliest words of a unigram model that is at hand as a whole."""
 
     def __init__(self, counts: dict[str, int]):
         self.total = sum(counts.values()) + 1
         self.cost = {w: -math.log(n / self.total) for w, n in counts.items() if len(w) <= LONGEST}
-        self._seen: dict[str, tuple[str, ...]] = {}
-
-    def unknown(self, size: int) -> float:
-        """Cost of a word that is not in the model: it falls tenfold with each character."""
-        return math.log(self.total) + (size - 1) * math.log(10)
 
     def split(self, name: str) -> tuple[str, ...]:
-        if (got := self._seen.get(name)) is None:
-            if len(self._seen) > 100_000:
-                self._seen.clear()
-            got = self._seen[name] = self._viterbi(name)
-        return got
-
-    def _viterbi(self, name: str) -> tuple[str, ...]:
-        if name.isdigit():
-            return ("#",)
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            low = None
-            for start in range(max(0, end - LONGEST), end):
-                w = name[start:end]
-                c = best[start] + (self.cost[w] if w in self.cost else self.unknown(end - start))
-                if low is None or c < low[0]:
-                    low = (c, start)
-            best.append(low[0])
-            back.append(low[1])
-        out, end = [], len(name)
-        while end:
-            out.append(name[back[end] : end])
-            end = back[end]
-        return tuple(out[::-1])
-
-    def tokens(self, text: str) -> list[str]:
-        """Words of every run of letters and digits."""
-        return [w for part in _PARTS.findall(text.lower()) for w in self.split(part)]
-
-
-class HostModel:
-    """Multinomial naive Bayes over segmented tokens: log-odds of `block`, both classes being as likely beforehand."""
-
-    def __init__(self, segmenter: Segmenter, counts: dict[str, tuple[int, int]]):
-        self.segmenter = segmenter
-        sums = [sum(c[k] for c in counts.values()) for k in (0, 1)]
-        size = len(counts) + 1
-        ratio = lambda a, b: math.log((b + SMOOTHING) / (sums[1] + SMOOTHING * size)) - math.log((a + SMOOTHING) / (sums[0] + SMOOTHING * size))
-        self.odds = {w: ratio(*c) for w, c in counts.items()}
-
-    def score(self, host: str, path: str) -> float:
-        """Log-odds of `block`; tokens that were never seen, and plain labels, don't count."""
-        t = [w for w in self.segmenter.tokens(host) if w not in PLAIN] + ["/" + w for w in self.segmenter.tokens(path)]
-        return sum(self.odds.get(w, 0.0) for w in t)
-
-
-def learn(urls: DataFrame) -> HostModel:
-    """Fit both models on urls(host, path): unigrams by the hosts that have them, host tokens by hosts, path tokens by urls.
-
-    The executors count; the driver gets the MAX_VOCABULARY most frequent words and tokens.
+        return viterbi(name, self.cost, self.total)
+
+
+def _parts(text: Column) -> Column:
+    """The lower-cased runs of letters and digits, `#` for those of digits alone."""
+    runs = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(runs, lambda w: F.when(w.rlike(r"^\p{N}+$"), F.lit("#")).otherwise(w))
+
+
+def _exploded(urls: DataFrame, *keys: str) -> DataFrame:
+    """(keys, pos, is_host, w): the parts of host, and of path where it is a key."""
+    named = lambda k: F.transform(_parts(F.col(k)), lambda w: F.struct(F.lit(k == "host").alias("is_host"), w.alias("w")))
+    kinds = [named(k) for k in keys]
+    return urls.select(*keys, F.posexplode(F.concat(*kinds)).alias("pos", "part")).select(*keys, "pos", "part.is_host", "part.w")
+
+
+def _split(names: DataFrame, model: DataFrame, total: int, own: bool) -> DataFrame:
+    """(w, tokens, known) of names(w) under model(w, n); known if all tokens are digits or in the model. Without own, a name is not a word for itself.
+
+    A name meets only the words that it contains.
     """
-    spark = urls.sparkSession
-    ship(spark)
-    parts = urls.select("host", F.explode(F.split(F.lower(F.concat_ws(" ", "host", "path")), r"[^\p{L}\p{N}]+")).alias("w")).where("w <> '' and w rlike '[^0-9]'").distinct()
-    words = parts.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MAX_VOCABULARY).collect()
-    counts = {r["w"]: r["n"] for r in words}
-    seeds = (*BLOCK_SEEDS, *WORD_SEEDS)
-    weight = max(MIN_SEED, sum(counts.values()) // len(seeds))  # the seeds weigh as much as all that is seen
-    for w in seeds:
-        counts[w] = counts.get(w, 0) + weight
-    segmenter = Segmenter(counts)
-    packed = spark.sparkContext.broadcast(segmenter)
+    ship(names.sparkSession)
+    size = F.length("w")
+    contained = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda k: F.substr(F.col("w"), i, k)))
+    inner = names.select("w", F.explode(F.array_distinct(F.flatten(contained))).alias("s"))
+    if not own:
+        inner = inner.where("s <> w")
+    found = inner.join(model.select(F.col("w").alias("s"), "n"), "s").groupBy("w").agg(F.collect_list("s").alias("s"), F.collect_list("n").alias("n"))
 
     def run(batches):
-        s: Segmenter = packed.value
-        for batch in batches:
-            w, k = [], []
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = s.tokens(host)
-                bad = any(x in _BAD for x in t)
-                if path is None:
-                    t = ["", *(x for x in dict.fromkeys(t) if x not in PLAIN)]  # the empty token counts hosts
-                else:
-                    t = ["/", *("/" + x for x in dict.fromkeys(s.tokens(path)))]  # and the slash counts urls
-                w += t
-                k += [bad] * len(t)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(k, pa.bool_())], names=["w", "bad"])
-
-    known = urls.where("host <> ''")
-    rows = known.select("host").distinct().withColumn("path", F.lit(None).cast("string")).unionByName(known.select("host", "path").distinct())
-    got = rows.mapInArrow(task("urlfilter", run), "w string, bad boolean")
-    got = got.groupBy("w").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad")).orderBy(F.desc(F.col("w").isin("", "/")), F.desc(F.col("good") + F.col("bad")), "w").limit(MAX_VOCABULARY).collect()
-    table = {r["w"]: (r["good"], r["bad"]) for r in got}
-    hosts, seen = (sum(table.pop(x, (0, 0))) for x in ("", "/"))
-    table = {w: c for w, c in table.items() if sum(c) <= max(1, COMMON * (seen if w[0] == "/" else hosts))}
-    # the seeds weigh as much as all that is known of allowed hosts
-    weight = max(1, math.ceil(sum(a for a, _ in table.values()) / len(BLOCK_SEEDS)))
-    for w in BLOCK_SEEDS:
-        a, b = table.get(w, (0, 0))
-        table[w] = (a, b + weight)
-    return HostModel(segmenter, table)
-
-
-_BAD = frozenset(BLOCK_SEEDS)
+        for b in batches:
+            tokens, known = [], []
+            for w, s, n in zip(*(b.column(k).to_pylist() for k in range(3))):
+                cost = {x: -math.log(c / total) for x, c in zip(s or (), n or ())}
+                tokens.append(viterbi(w, cost, total))
+                known.append(all(x in cost or x.isdigit() for x in tokens[-1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.list_(pa.string())), pa.array(known, pa.bool_())], names=["w", "tokens", "known"])
+
+    return names.select("w").join(found, "w", "left").mapInArrow(task("urlfilter", run), "w string, tokens array<string>, known boolean")
+
+
+def segment(urls: DataFrame) -> DataFrame:
+    """(w, tokens) of every part of urls(host, path).
+
+    A part counts once for each registered domain, taken as the last two labels of its host, and is
+    a word unless the model without it splits it into words.
+    """
+    domain = F.substring_index(F.substring_index("host", ":", 1), ".", -2).alias("domain")
+    seen = urls.select(domain, F.explode(F.array_distinct(F.concat(_parts(F.col("host")), _parts(F.col("path"))))).alias("w")).distinct()
+    parts = materialize(seen.groupBy("w").agg(F.count("*").alias("n")), "url-parts")
+    counts = parts.where("w <> '#'")
+    seeds = (*BLOCK_SEEDS, *WORD_SEEDS)
+    seen_in_all = counts.agg(F.sum("n")).first()[0] or 0
+    weight = max(MIN_SEED, seen_in_all // len(seeds))  # the seeds weigh as much as all that is seen
+    sown = urls.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, seeds))).alias("w"), F.lit(weight).cast("long").alias("n"))
+    total = seen_in_all + weight * len(seeds) + 1
+    model = materialize(counts.unionByName(sown).groupBy("w").agg(F.sum("n").alias("n")).where(F.length("w") <= LONGEST), "url-words")
+    joined = _split(counts.where(~F.col("w").isin(*seeds)), model, total, own=False).where("known and size(tokens) > 1")
+    words = materialize(model.join(joined.select("w"), "w", "left_anti"), "url-words")
+    return materialize(_split(parts, words, total, own=True).select("w", "tokens"), "url-splits")
+
+
+def learn(urls: DataFrame, splits: DataFrame) -> DataFrame:
+    """(is_host, t, odds): log-odds of `block` for the tokens of distinct urls(host, path), both classes being as likely beforehand.
+
+    Host tokens are counted by hosts, path tokens by urls, each kind normalised for itself. A token that
+    is common is kept, for what its share in the classes says: smoothing is towards the share of both,
+    so a path token of which a class knows nothing has odds of about 0. The seeds together weigh as
+    much as all that is known of allowed hosts.
+    """
+    is_bad = F.arrays_overlap("tokens", F.array(*map(F.lit, BLOCK_SEEDS)))
+    named = urls.where("host <> ''")
+    hosts = _exploded(named.select("host").distinct(), "host").join(splits, "w").groupBy("host").agg(F.max(is_bad).alias("bad"), F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("ts"))
+    paths = _exploded(named, "host", "path").join(splits, "w").groupBy("host", "path").agg(F.max(F.col("is_host") & is_bad).alias("bad"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("is_host"), F.col("tokens"))))).alias("ts"))
+    tokens = hosts.select(F.lit(True).alias("is_host"), "bad", F.explode("ts").alias("t")).where(~F.col("t").isin(*PLAIN))
+    tokens = tokens.unionByName(paths.select(F.lit(False).alias("is_host"), "bad", F.explode("ts").alias("t")))
+    counts = materialize(tokens.groupBy("is_host", "t").agg(F.count_if(~F.col("bad")).alias("a"), F.count_if("bad").alias("b")), "url-counts")
+    seed = F.col("is_host") & F.col("t").isin(*BLOCK_SEEDS)
+    sums = {r["is_host"]: r for r in counts.groupBy("is_host").agg(*(F.coalesce(F.sum(F.when(~seed, F.col(k))), F.lit(0)).alias(k) for k in "ab"), F.count_if(~seed).alias("size"), F.coalesce(F.sum(F.when(seed, F.col("b"))), F.lit(0)).alias("sown")).collect()}
+    weight = max(1, math.ceil(sums[True]["a"] / len(BLOCK_SEEDS))) if True in sums else 0
+    odds = F.lit(0.0)
+    for kind, r in sums.items():
+        sown = r["sown"] + weight * len(BLOCK_SEEDS) if kind else 0
+        mass = SMOOTHING * max(1, r["size"])
+        prior = mass * (F.col("a") + F.col("b")) / max(1, r["a"] + r["b"])
+        plain = F.log((F.col("b") + prior) / (r["b"] + sown + mass)) - F.log((F.col("a") + prior) / (r["a"] + mass))
+        odds = F.when(F.col("is_host") == kind, plain).otherwise(odds)
+    if (r := sums.get(True)) is not None:
+        mass = SMOOTHING * (r["size"] + len(BLOCK_SEEDS) + 1)
+        of_seed = F.log((F.col("b") + weight + SMOOTHING) / (r["b"] + r["sown"] + weight * len(BLOCK_SEEDS) + mass)) - math.log(SMOOTHING / (r["a"] + mass))
+        odds = F.when(seed, of_seed).otherwise(odds)
+    return materialize(counts.select("is_host", "t", odds.alias("odds")), "url-odds")
+
+
+def _total() -> Column:
+    """Sum of odds in the order of pos, so that it has the same last digits in every run."""
+    return F.aggregate(F.sort_array(F.collect_list(F.struct("pos", "odds"))), F.lit(0.0), lambda s, x: s + x["odds"]).alias("odds")
+
+
+def scores(urls: DataFrame) -> DataFrame:
+    """(host, path, odds) of distinct urls(host, path) that have any part; plain labels don't count."""
+    splits = segment(urls)
+    odds = learn(urls, splits)
+    tokens = splits.select("w", F.posexplode("tokens").alias("pos", "t")).withColumn("is_host", F.explode(F.array(F.lit(True), F.lit(False))))
+    parts = tokens.join(odds, ["is_host", "t"], "left").fillna(0.0, ["odds"]).groupBy("is_host", "w").agg(_total())
+    parts = materialize(parts, "url-part-odds")
+    return _exploded(urls, "host", "path").join(parts, ["is_host", "w"]).groupBy("host", "path").agg(_total())
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -187,23 +214,13 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_co
     are positive. A null url, or one without `://`, has an empty host and path, which no rule fits
     and no token speaks against, so they are allowed. Repeated rows are kept; an empty table gives no rows; other columns are ignored.
     """
-    spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col).cast("string"))
     urls = pages.select(id_col, host.alias("host"), path.alias("path"))
-    model = learn(urls)
-    packed = spark.sparkContext.broadcast(model)  # at most MAX_VOCABULARY words and tokens
+    known = materialize(scores(materialize(urls.select("host", "path").distinct(), "url-distinct")), "url-scores")
     name, verdict = rule_and_verdict(F.col("host"), F.col("path"), rules)
-    src = urls.select(id_col, "host", "path", name.alias("rule"), verdict.alias("said"))
-
-    def run(batches):
-        m: HostModel = packed.value
-        for b in batches:
-            odds = [m.score(h, p) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            verdicts = [s or ("block" if o > 0 else "allow") for s, o in zip(b.column(4).to_pylist(), odds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdicts, pa.string()), pa.array(odds, pa.float64())], names=[id_col, "host", "path", "rule", "verdict", "block_odds"])
-
-    kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(task("urlfilter", run), f"{id_col} {kind}, host string, path string, rule string, verdict string, block_odds double")
+    odds = F.coalesce("odds", F.lit(0.0))
+    said = F.coalesce(verdict, F.when(odds > 0, "block").otherwise("allow"))
+    return urls.join(known, ["host", "path"], "left").select(id_col, "host", "path", name.alias("rule"), said.alias("verdict"), odds.alias("block_odds"))
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
