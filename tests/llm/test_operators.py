@@ -391,6 +391,13 @@ def test_hot_joined_names_are_split(spark):
     assert all(v == ("block" if "freebets" in h else "allow") for h, v in got) and len(got) == 22
 
 
+def test_rare_and_common_tokens_count(spark):
+    urls = [f"http://h{k}.casino{j}.net/deals/{w}" for k in range(4) for j in range(3) for w in ("bonus", "spin")] + [f"http://{w}.net/paper/{v}" for w in ("quiet", "river") for v in ("essay", "poem")]
+    urls += [f"http://stone.net/{w}/{v}" for w in ("deals", "paper") for v in ("bonus", "poem", "once")]
+    got = {r.host + r.path: r.block_odds for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=()).collect()}
+    assert got["stone.net/deals/bonus"] > got["stone.net/deals/poem"] > got["stone.net/paper/poem"] and got["stone.net/deals/once"] > got["stone.net/paper/once"]
+
+
 def test_segmentation():
     s = urlfilter.Segmenter({"free": 10, "bets": 10, "cheap": 5, "pills": 5, "be": 1, "ts": 1})
     assert s.split("freebets") == ("free", "bets") and s.split("cheappills") == ("cheap", "pills") and s.split("123") == ("#",)
