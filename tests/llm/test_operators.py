@@ -277,6 +277,22 @@ def test_contamination(spark, docs, none, monkeypatch, bytes_a_block):
     assert decontam.contamination(decontam.find_matches(docs, bench.where("false"))).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("bytes_a_block", [1 << 24, 200])
+def test_contamination_keeps_rows_of_equal_and_null_ids(spark, monkeypatch, bytes_a_block):
+    monkeypatch.setattr(decontam, "MAX_ITEM_BYTES", bytes_a_block)
+    items = [(1, sentence(30, 1)), (2, sentence(30, 2)), (3, sentence(30, 1) + " " + sentence(30, 3))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, sentence(20, 9)), (None, sentence(30, 1)), (None, sentence(30, 1)), (7, sentence(30, 2) + " x " + sentence(30, 3)), (7, "clean text"), (8, None), (8, sentence(40, 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    key = lambda r: (str(r[0]), *r[1:])
+    want = [(k, *brute_matches(t, items)) for k, t in rows]
+    got = [(r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in decontam.contamination(decontam.find_matches(df, bench)).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    kept = [tuple(r) for r in decontam.filter_rows(df, bench).collect()]
+    clean = [(k, t) for (k, t), (_, n, hit, _) in zip(rows, want) if not (hit and 20 * hit >= n)]
+    assert sorted(map(str, kept)) == sorted(map(str, clean)) and 0 < len(clean) < len(rows)
+
+
 def test_proximity():
     bench = decontam.Benchmark([(1, b"a b c")], 13)
     shard, _ = decontam.index_block([b"a x b c", b"c b q q q q a", b"a b", b"c a b"], bench)

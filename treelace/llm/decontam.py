@@ -6,8 +6,9 @@ starting from the list of its rarest term in that shard, shifting it by the term
 phrase, and intersecting with the shifted lists of the next rarest terms until all are used.
 Shards answer alone, so no posting is shuffled and no common word or passage makes a hot task.
 
-The benchmark is handed out in blocks of at most MAX_ITEM_BYTES of text, one pass over the index
-for each block, so what is sent to the executors is bounded whatever the benchmark's size.
+The benchmark is handed out in blocks of at most MAX_ITEM_BYTES of text. A task takes all blocks in
+turn over each batch of documents and holds one of them at a time, so a document's matches are
+together without a key, and memory is bounded whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -222,55 +223,59 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"{doc_id} {kind}, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>, row long"
     src = docs.select(doc_id, F.col(doc_text).cast("string").alias("text"))
-    parts = []
-    for block in _item_blocks(items, item_id, item_text):
-        packed = spark.sparkContext.broadcast(block)
-
-        def run(batches, packed=packed):
-            bench = Benchmark(packed.value, window)
-            for batch in batches:
-                raw, off = utf8(batch.column(1))
-                data = raw.tobytes()
-                for lo, hi in blocks(np.diff(off)):
-                    n_words, d, s, e, found = _spans(bench, [data[off[i] : off[i + 1]] for i in range(lo, hi)])
-                    order = np.argsort(d, kind="stable")
-                    cut = np.searchsorted(d[order], np.arange(hi - lo + 1))
-                    spans = [[{"start": a, "end": b} for a, b in merged(s[order[x:y]], e[order[x:y]])] if y > x else [] for x, y in zip(cut, cut[1:])]
-                    ids = [sorted(map(str, found.get(i, ()))) for i in range(hi - lo)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(lo, hi - lo),
-                            pa.array(n_words),
-                            pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                            pa.array(ids, pa.list_(pa.string())),
-                            pa.array(np.zeros(hi - lo, np.int64)),
-                        ],
-                        names=[doc_id, "n_words", "spans", "item_ids", "row"],
-                    )
-
-        parts.append(src.mapInArrow(task("decontam", run), schema).drop("row"))
-    if len(parts) == 1:
-        return parts[0]
-    # more blocks than one: matches of each are joined by row
-    return _join_blocks(src, parts, doc_id, kind)
-
-
-def _join_blocks(src: DataFrame, parts: list[DataFrame], doc_id: str, kind: str) -> DataFrame:
-    """Combine the blocks' matches for each id; repeated ids share words and counts only if their texts agree,
-    so a benchmark of several blocks asks for unique ids."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    flat = every.groupBy(doc_id).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    packed = _sent(spark, items, item_id, item_text)
 
     def run(batches):
-        for b in batches:
-            spans = [[{"start": x, "end": y} for x, y in merged(np.array([s["start"] for s in row], np.int64), np.array([s["end"] for s in row], np.int64))] for row in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, b.schema.field(2).type), b.column(3)], names=b.schema.names)
-
-    return flat.mapInArrow(task("decontam", run), flat.schema)
+        for batch, n_words, spans, found in _searched(batches, 1, packed, window):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(n_words),
+                    pa.array([[{"start": a, "end": b} for a, b in row] for row in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    pa.array([sorted(x) for x in found], pa.list_(pa.string())),
+                ],
+                names=[doc_id, "n_words", "spans", "item_ids"],
+            )
+
+    return src.mapInArrow(task("decontam", run), f"{doc_id} {kind}, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>")
+
+
+def _sent(spark, items: DataFrame, item_id: str, item_text: str) -> list:
+    """The blocks of the benchmark as broadcasts, which wait on disk until a worker takes one."""
+    return [spark.sparkContext.broadcast(block) for block in _item_blocks(items, item_id, item_text)]
+
+
+def _benchmarks(packed: list, window: int):
+    """The blocks one after the other; a worker keeps none that it is done with."""
+    for block in packed:
+        bench = Benchmark(block.value, window)
+        if getattr(block, "_path", None) and len(packed) > 1:
+            del block._value  # it is read from its file again
+        yield bench
+
+
+def _searched(batches, at: int, packed: list, window: int):
+    """(batch, words, merged spans, item ids as strings) of all rows, over all blocks of the benchmark; column `at` has the texts."""
+    one = list(_benchmarks(packed, window)) if len(packed) == 1 else None
+    for batch in batches:
+        raw, off = utf8(batch.column(at))
+        data = raw.tobytes()
+        n_words = np.zeros(batch.num_rows, np.int64)
+        spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+        ids: list[set[str]] = [set() for _ in range(batch.num_rows)]
+        for bench in one or _benchmarks(packed, window):
+            for lo, hi in blocks(np.diff(off)):
+                n_words[lo:hi], d, s, e, found = _spans(bench, [data[off[i] : off[i + 1]] for i in range(lo, hi)])
+                order = np.argsort(d, kind="stable")
+                cut = np.searchsorted(d[order], np.arange(hi - lo + 1))
+                for i in np.flatnonzero(np.diff(cut)).tolist():
+                    which = order[cut[i] : cut[i + 1]]
+                    old = np.array(spans[lo + i], np.int64).reshape(-1, 2)
+                    spans[lo + i] = merged(np.concatenate([old[:, 0], s[which]]), np.concatenate([old[:, 1], e[which]]))
+                for i, x in found.items():
+                    ids[lo + i].update(map(str, x))
+        yield batch, n_words, spans, ids
 
 
 def contamination(matches: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -285,30 +290,16 @@ def contamination(matches: DataFrame, ratio: int = RATIO) -> DataFrame:
 
 
 def filter_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, ratio: int = RATIO, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that aren't contaminated. A benchmark of several blocks asks for unique ids."""
+    """The rows of docs, with all their columns, that aren't contaminated."""
     spark = docs.sparkSession
     ship(spark)
-    first = _item_blocks(items, item_id, item_text)
-    block, more = next(first), next(first, None)
-    if more is not None:
-        bad = contamination(find_matches(docs, items, window, doc_id, doc_text, item_id, item_text), ratio).where("contaminated").select(doc_id)
-        return docs.join(bad, doc_id, "left_anti").select(*docs.columns)
-    packed = spark.sparkContext.broadcast(block)
+    packed = _sent(spark, items, item_id, item_text)
     at = docs.columns.index(doc_text)
 
     def run(batches):
-        bench = Benchmark(packed.value, window)
-        for batch in batches:
-            raw, off = utf8(batch.column(at))
-            data = raw.tobytes()
-            keep: list[bool] = []
-            for lo, hi in blocks(np.diff(off)):
-                n_words, d, s, e, _ = _spans(bench, [data[off[i] : off[i + 1]] for i in range(lo, hi)])
-                order = np.argsort(d, kind="stable")
-                cut = np.searchsorted(d[order], np.arange(hi - lo + 1))
-                hit = [sum(b - a for a, b in merged(s[order[x:y]], e[order[x:y]])) if y > x else 0 for x, y in zip(cut, cut[1:])]
-                keep += [not (h and ratio * h >= n) for h, n in zip(hit, n_words.tolist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch, n_words, spans, _ in _searched(batches, at, packed, window):
+            hit = [sum(b - a for a, b in row) for row in spans]
+            yield batch.filter(pa.array([not (h and ratio * h >= n) for h, n in zip(hit, n_words.tolist())], pa.bool_()))
 
     return docs.mapInArrow(task("decontam", run), docs.schema)
 
