@@ -28,16 +28,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: that with the component's id, which is its smallest.
+    """One row of each SimHash component stays: that with its smallest id, of several texts of that id the one with the smallest hash.
 
-    Of rows that repeat that id only those with different texts stay. Rows with a null id can't
-    stand for a group, so none of them goes.
+    A null id comes after all others, so a row with one stays only where its component has no other id.
     """
-    ids = simhash.near_duplicates(docs).where("doc_id is not null")
-    ids = materialize(ids.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") == F.col("component_id")).alias("stays")), "pipeline-groups")
-    once = without(docs, ids.where("stays = 0 or n > 1").select("doc_id"), "doc_id")
-    again = only(docs, ids.where("stays > 0 and n > 1").select("doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
-    return _columns(once.unionByName(again), docs)
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", th.alias("th"))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), th.cast("string"))
+    found = simhash.near_duplicates(docs.select(row.alias("row"), "text"), "row")
+    key = F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.col("row.th").cast("string"))
+    ids = materialize(found.groupBy(key.alias("_row")).agg(F.count("*").alias("n"), F.count_if(F.col("row").eqNullSafe(F.col("component_id"))).alias("stays")), "pipeline-groups")
+    tagged = docs.withColumn("_row", name)
+    once = without(tagged, ids.where("stays = 0 or n > 1").select("_row"), "_row")
+    again = only(tagged, ids.where("stays > 0 and n > 1").select("_row"), "_row").dropDuplicates(["_row"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
