@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from test_operators import sentence
-from treelace.llm import simhash
+from treelace.llm import decontam, simhash
 
 A, B, C, D = (sentence(60, k) for k in (71, 72, 73, 74))
 #: (doc_id, text)
@@ -41,3 +41,20 @@ def test_one_row_of_each_near_group_stays(spark, rows):
     assert Counter(of[x] for x in kept) == Counter(where.keys())
     for x in kept:
         assert x[0] == min((k for k in where[of[x]] if k is not None), default=None)
+
+
+def test_repeated_passages_of_repeated_rows(spark, rows):
+    got = [(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.remove_repeated_passages(spark, rows, "").collect()]
+    assert len(got) == len(ROWS) and corpus_pipeline.remove_repeated_passages(spark, rows.where("false"), "").count() == 0
+    firsts = {(k, t) for k, t in ((None, A), (5, B), (None, C), (4, D))}
+    texts = Counter((k, t) for k, t, _ in got)
+    assert all(texts[x] == Counter(ROWS)[x] for x in firsts)
+    assert texts[9, ""] == 1 and texts[7, ""] == 1 and all(n == len(t or "") for _, t, n in got)
+
+
+@pytest.mark.parametrize("bytes_a_block", [1 << 24, 300])
+def test_contaminated_rows_go_by_row(spark, rows, monkeypatch, tmp_path, bytes_a_block):
+    monkeypatch.setattr(decontam, "MAX_ITEM_BYTES", bytes_a_block)
+    spark.createDataFrame([(1, B), (2, C), (3, "no match in any of them at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, rows, str(tmp_path)).collect())
+    assert got == Counter((k, t) for k, t in ROWS if not (t or "").startswith((B, C)))
