@@ -4,12 +4,12 @@ BPE by merge rank has one property that makes prefixes shareable: a sequence of
 encoding of its bytes exactly if every two neighbours are the encoding of theirs. So the encoding
 of a prefix is fixed by its last token and the encoding of what stands before it, and exactly one
 token that ends a prefix fits what stands before. The distinct words of a block are inserted into
-a trie; a depth-first traversal hands each node the last-token states of its ancestors and finds
-the node's own, so a prefix that many words share is encoded once. A word's ids are read back by
-following last tokens from its end.
+a trie whose edges hold the bytes up to the next branch; a depth-first traversal hands each prefix
+the last-token states of those before it and finds its own, so a prefix that many words share is
+encoded once. A word's ids are read back by following last tokens from its end.
 
-Words and their ids stay in a bounded table for each worker; when it is full it starts anew, which
-costs time and changes nothing else. No row is shuffled.
+Words and their ids stay in a bounded table of two generations for each worker: when the younger is
+full, the older goes, and words that are met again come over. No row is shuffled.
 """
 
 from __future__ import annotations
@@ -39,12 +39,12 @@ def _narrow(letters: str) -> str:
     return PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}0-9]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", "[0-9]")
 
 
-#: Distinct words that a worker keeps.
+#: Distinct words in a generation of a worker's table, of which there are two.
 MAX_WORDS = 200_000
-#: Pairs of tokens whose fit a worker keeps.
-MAX_PAIRS = 200_000
-#: Bytes of a word up to which it goes into the trie; a longer one is encoded alone, in the same way.
-MAX_TRIE_BYTES = 256
+#: Pairs of tokens, in a generation, whose fit a worker keeps; and transitions of the automaton beside its own.
+MAX_PAIRS = 300_000
+#: Bytes of the words of a generation at most, so that very long words don't stay.
+MAX_WORD_BYTES = 8 << 20
 
 
 def byte_chars() -> dict[int, str]:
@@ -87,9 +87,18 @@ class Tokenizer:
         for i, (rank, a, b) in sorted(self.made.items(), key=lambda x: x[1][0]):
             own[i] = rank < 0 or own.get(a, False) and own.get(b, False) and self._apart(a, b, rank)
         self._automaton([i for i, ok in own.items() if ok])
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.wide = 1 + max(self.bytes_of)
+        #: first token * wide + second token -> whether the second can follow the first
+        self.fits: dict[int, bool] = {}
+        self.old_fits: dict[int, bool] = {}
         self.ids: dict[str, bytes] = {}
-        self.text: dict[str, bytes] = {}
+        self.old_ids: dict[str, bytes] = {}
+        self.kept_bytes = 0
+        size = np.zeros(self.wide, np.int64)
+        for i, raw_bytes in self.bytes_of.items():
+            size[i] = len(raw_bytes)
+        self.token_size, self.token_at = size, np.cumsum(size) - size
+        self.token_bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(self.wide)), np.uint8)
 
     def _automaton(self, tokens: list[int]) -> None:
         """Aho-Corasick over the tokens: ends[s] has (token, bytes) of all that end in state s, longest first."""
@@ -108,6 +117,7 @@ class Tokenizer:
                 s = n
             own[s] = (t, len(self.bytes_of[t]))
         self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.go)
+        self.spare = 0  # the trie must be whole before transitions are kept in it
         level = [0]
         while level:
             deeper = []
@@ -118,13 +128,19 @@ class Tokenizer:
                     self.fail[n] = self.step(f, c) if s else 0
                     deeper.append(n)
             level = deeper
+        self.spare = MAX_PAIRS
 
     def step(self, s: int, c: int) -> int:
-        go, fail = self.go, self.fail
-        while (n := go[s].get(c)) is None:
-            if not s:
-                return 0
-            s = fail[s]
+        """The state after s by byte c; transitions that fall back are kept beside the trie's own."""
+        go, fail, at = self.go, self.fail, s
+        while (n := go[at].get(c)) is None:
+            if not at:
+                n = 0
+                break
+            at = fail[at]
+        if self.spare > 0:
+            self.spare -= 1
+            go[s][c] = n
         return n
 
     def merged(self, word: bytes, ids: list[int] | None = None) -> list[int]:
@@ -165,74 +181,87 @@ class Tokenizer:
             else:
                 bound, b = rb + 1, made[b][1]
 
-    def fit(self, a: int, b: int) -> bool:
-        """Whether token b can follow token a."""
-        key = (a, b)
-        if (got := self.fits.get(key)) is None:
-            if len(self.fits) >= MAX_PAIRS:
-                self.fits.clear()
-            got = self.fits[key] = self._apart(a, b, float("inf"))
+    def fit(self, key: int) -> bool:
+        """Whether the second token of a packed pair can follow the first."""
+        got = self.old_fits.get(key)
+        if got is None:
+            got = self._apart(*divmod(key, self.wide), float("inf"))
+        if len(self.fits) >= MAX_PAIRS:
+            self.old_fits, self.fits = self.fits, {}
+        self.fits[key] = got
         return got
 
-    def last(self, ends: tuple[tuple[int, int], ...], depth: int, state: list[int]) -> int:
-        """Last token of a prefix of depth bytes that ends in the automaton's `ends`, given the last
-        tokens of all shorter prefixes (state[d] of d bytes). Exactly one token fits."""
-        for t, size in ends:
-            if size == depth or self.fit(state[depth - size], t):
-                return t
-        raise ValueError("the vocabulary lacks a byte")
-
-    def _read(self, state: list[int], depth: int) -> list[int]:
-        out = []
+    def _read(self, state, depth: int) -> list[int]:
+        out, size, wide = [], self.bytes_of, self.wide
         while depth:
-            out.append(state[depth])
-            depth -= len(self.bytes_of[state[depth]])
+            t = state[depth] // wide
+            out.append(t)
+            depth -= len(size[t])
         return out[::-1]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode distinct words by a trie and put them into the table."""
+    def trie(self, words: list[str]) -> dict:
+        """A trie of the words' bytes: node[first byte] = (bytes of the edge, node); node[-1] is the word that ends there."""
         root: dict = {}
         for w in words:
             raw = w.encode()
-            if len(raw) > MAX_TRIE_BYTES:
-                self._keep(w, self.encode_long(raw))
-                continue
-            node = root
-            for c in raw:
-                nxt = node.get(c)
-                if nxt is None:
-                    nxt = node[c] = {}
-                node = nxt
-            node[-1] = w
-        state = [0] * (MAX_TRIE_BYTES + 2)
-        stack = [(root, 0, 0)]
-        go, step, ends, last, keep, read = self.go, self.step, self.ends, self.last, self._keep, self._read
-        fits, slow = self.fits, self.fit
+            node, at, n = root, 0, len(raw)
+            while at < n:
+                c = raw[at]
+                edge = node.get(c)
+                if edge is None:
+                    node[c] = (raw[at:], {-1: w})
+                    break
+                label, child = edge
+                if raw.startswith(label, at):
+                    node, at = child, at + len(label)
+                    continue
+                k, most = 1, min(len(label), n - at)
+                while k < most and label[k] == raw[at + k]:
+                    k += 1
+                fork = {label[k]: (label[k:], child)}
+                node[c] = (label[:k], fork)
+                node, at = fork, at + k
+            else:
+                node[-1] = w
+        return root
+
+    def learn(self, words: list[str]) -> None:
+        """Encode distinct words by a trie and put them into the table.
+
+        state[d] is the last token of the encoding of the first d bytes on the way to a node, times
+        wide. Of the tokens that end there, longest first, exactly one fits what stands before it.
+        """
+        longest = 1 + max(map(len, map(str.encode, words)))
+        state = [0] * longest if longest < 1 << 16 else array("q", bytes(8 * longest))
+        stack: list[tuple[int, int, bytes, dict]] = [(0, 0, b"", self.trie(words))]
+        go, step, ends, keep, read, wide = self.go, self.step, self.ends, self._keep, self._read, self.wide
+        slow = self.fit
         while stack:
-            node, depth, s = stack.pop()
-            if depth:
+            depth, s, label, node = stack.pop()
+            fits = self.fits
+            for c in label:
+                n = go[s].get(c)
+                s = step(s, c) if n is None else n
+                depth += 1
                 for t, size in ends[s]:
-                    if size == depth or ((f := fits.get((state[depth - size], t))) is None and slow(state[depth - size], t)) or f:
+                    if size == depth:
+                        break
+                    key = state[depth - size] + t
+                    f = fits.get(key)
+                    if f or f is None and slow(key):
                         break
-                state[depth] = t
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                state[depth] = t * wide
             for k, child in node.items():
                 if k >= 0:
-                    n = go[s].get(k)
-                    stack.append((child, depth + 1, step(s, k) if n is None else n))
-                else:
-                    keep(child, read(state, depth))
-
-    def encode_long(self, raw: bytes) -> list[int]:
-        """A long word as a path of its own: linear in its bytes."""
-        state, s = [0] * (len(raw) + 1), 0
-        for depth in range(1, len(raw) + 1):
-            s = self.step(s, raw[depth - 1])
-            state[depth] = self.last(self.ends[s], depth, state)
-        return self._read(state, len(raw))
+                    stack.append((depth, s, *child))
+            if (word := node.get(-1)) is not None:
+                keep(word, read(state, depth))
 
     def _keep(self, word: str, ids: list[int]) -> None:
-        self.ids[word] = array("I", ids).tobytes()
-        self.text[word] = b"".join(map(self.bytes_of.__getitem__, ids))
+        self.ids[word] = got = array("I", ids).tobytes()
+        self.kept_bytes += len(got)
 
     def split(self, text: str) -> list[str]:
         return (self.split_plain if text.isascii() else self.split_latin if NOT_LATIN(text) is None else self.split_words).findall(text)
@@ -246,21 +275,38 @@ class Tokenizer:
             out += [part] if k % 2 else self.split(part)
         return out
 
-    def encode_block(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian uint32, decoded bytes) of each text."""
-        if len(self.ids) > MAX_WORDS:
-            self.ids.clear()
-            self.text.clear()
+    def encode_block(self, texts: list[str]) -> list[bytes]:
+        """The ids, as little-endian uint32, of each text."""
+        if len(self.ids) > MAX_WORDS or self.kept_bytes > MAX_WORD_BYTES:
+            self.old_ids, self.ids, self.kept_bytes = self.ids, {}, 0
         for s, i in self.special.items():
             self._keep(s, [i])
         split = [self.pieces(t) for t in texts]
         if new := set().union(*split).difference(self.ids):
-            self.learn(list(new))
-        ids, text = self.ids.__getitem__, self.text.__getitem__
-        return [(b"".join(map(ids, words)), b"".join(map(text, words))) for words in split]
+            old = self.old_ids
+            known = new.intersection(old)
+            self.ids.update((w, old[w]) for w in known)
+            if fresh := list(new - known):
+                self.learn(fresh)
+        ids = self.ids.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
+
+    def decode_block(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes that each sequence of ids, as little-endian uint32, stands for."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        out, sizes = [], [np.zeros(1, np.int64)]
+        for k in range(0, len(flat), 1 << 17):
+            part = flat[k : k + (1 << 17)].astype(np.int64)
+            size = self.token_size[part]
+            upto = np.cumsum(size)
+            out.append(self.token_bytes[np.repeat(self.token_at[part] - upto + size, size) + np.arange(upto[-1])].tobytes())
+            sizes.append(size)
+        raw, upto = b"".join(out), np.concatenate(sizes).cumsum()
+        cut = upto[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_block([text])[0][0], "<u4").tolist()
+        return np.frombuffer(self.encode_block([text])[0], "<u4").tolist()
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -325,12 +371,12 @@ def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, digests:
                 got = tok.encode_block([data[off[i] : off[i + 1]].decode("utf-8", "replace") for i in range(lo, hi)])
                 ids = batch.column(0).slice(lo, hi - lo)
                 if digests:
-                    n = pa.array([len(x) // 4 for x, _ in got], pa.int64())
-                    cols = [ids, n, pa.array([sha(x) for x, _ in got]), pa.array([sha(y.decode("utf-8", "replace").encode()) for _, y in got])]
+                    n = pa.array([len(x) // 4 for x in got], pa.int64())
+                    cols = [ids, n, pa.array([sha(x) for x in got]), pa.array([sha(y.decode("utf-8", "replace").encode()) for y in tok.decode_block(got)])]
                     yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    ends = np.cumsum([0, *(len(x) // 4 for x, _ in got)]).astype(np.int32)
-                    values = pa.array(np.frombuffer(b"".join(x for x, _ in got), "<u4").astype(np.int32))
+                    ends = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
+                    values = pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32))
                     yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), values)], names=[id_col, "ids"])
 
     return src.mapInArrow(task("bpe", run), schema)
