@@ -168,7 +168,7 @@ def test_bpe_trie_equals_merging():
 @pytest.mark.parametrize("hot", [5000, 2])
 def test_repeats_equal_brute_force(docs, none, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT_CLASSES", hot)
-    monkeypatch.setattr(suffix, "HOT_IN_BLOCK", 2 if hot == 2 else 8)
+    monkeypatch.setattr(suffix, "HOT_IN_FOLD", 2 if hot == 2 else 8)
     monkeypatch.setattr(suffix, "SLICE", 400)  # long texts are taken in slices
     out = suffix.remove_repeats(docs.withColumnRenamed("spans", "other"))
     got = {r.doc_id: r for r in out.collect()}
@@ -182,7 +182,7 @@ def test_repeats_equal_brute_force(docs, none, monkeypatch, hot):
 @pytest.mark.parametrize("hot", [5000, 2])
 def test_repeated_rows_lose_nothing_of_themselves(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT_CLASSES", hot)
-    monkeypatch.setattr(suffix, "HOT_IN_BLOCK", 2 if hot == 2 else 8)
+    monkeypatch.setattr(suffix, "HOT_IN_FOLD", 2 if hot == 2 else 8)
     texts = [(None, sentence(60, 1)), (1, sentence(60, 2)), (2, sentence(30, 3) + sentence(60, 2)), (3, "no copy"), (4, sentence(50, 4) + sentence(50, 4)), (5, sentence(60, 1) + " tail"), (6, None)]
     rows = texts + [texts[k] for k in (0, 0, 1, 2, 4, 5, 6)]
     want = {r[0]: r[1:] for r in suffix.brute_force([(-1 if k is None else k, (t or "").encode()) for k, t in texts])}  # a null id is the smallest

@@ -145,6 +145,14 @@ def read_tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame
     return [table(spark, sf_dir, n) for n in names]
 
 
+def free_name(name: str, taken) -> str:
+    """name, with underscores in front until no column of `taken` has it, whatever the case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 #: Groups of ids by which the large side of a join is narrowed before it is shuffled.
 BUCKETS = 1 << 18
 

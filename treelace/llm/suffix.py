@@ -14,9 +14,12 @@ SPAN bytes always meet:
    successors and induces the rest by scanning the buckets of first bytes; common prefixes of
    adjacent suffixes then show which windows are equal, and all but the first of each go.
 
-Copies within a block of documents are folded before the shuffle. Anchors with very many classes,
-such as a common line in changing surroundings, are found beforehand; they are dealt out by class,
-and their windows then meet one by one by a 128-bit digest instead, so no task holds them all.
+Copies within FOLD segments are folded before the shuffle, and neighbours that go are one range.
+Anchors with very many classes, such as a common line in changing surroundings, are found
+beforehand; they are dealt out by class, and their windows then meet one by one by a 128-bit digest
+instead. An anchor that only turns out to have so many when its classes meet goes that way too, so
+no task holds more than HOT_CLASSES classes of one. Equal segments are told by 64-bit hashes of
+their bytes and their length, of which the anchor's hash is a second one.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from treelace.llm.common import free_shuffles, materialize, owned, read_tables, release, ship, task, utf8
+from treelace.llm.common import free_name, free_shuffles, materialize, owned, read_tables, release, ship, task, utf8
 
 SPAN = 100
 #: Bytes of an anchor; a window has SPAN - GRAM + 1 of them.
@@ -39,9 +43,12 @@ GRAM = 40
 SLICE = 1 << 20
 #: Suffix text of one array.
 ARRAY_BYTES = 1 << 20
-#: Classes of an anchor beyond which its windows meet one by one; the shares of a block and of all rows that make one.
+#: Segments among which copies are folded before the shuffle, some 8 MB of text.
+FOLD = 1 << 19
+#: Classes of an anchor beyond which its windows meet one by one; to be known beforehand, it needs so many in FOLD segments,
+#: and to be one of the MAX_HOT with most. What is missed there is found when the classes meet.
 HOT_CLASSES = 5_000
-HOT_IN_BLOCK = 8
+HOT_IN_FOLD = 8
 MAX_HOT = 100_000
 #: Groups of ids that a join's other side is narrowed by before it is shuffled.
 BUCKETS = 1 << 18
@@ -230,13 +237,6 @@ def equal_windows(parts: list[bytes], windows: np.ndarray, span: int = SPAN) ->
 # ---- stages
 
 
-def _local(doc, th, start, many, anchor, body):
-    """Marks segments of a block whose bytes already stood in it: (order, repeated)."""
-    order = np.lexsort((start, th, doc, body, anchor))
-    a, b = anchor[order], body[order]
-    return order, np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
-
-
 def _sliced(off: np.ndarray):
     """Blocks of (row, begin, end) slices of about SLICE bytes in all; slices of a row overlap by SPAN - 1."""
     block, size = [], 0
@@ -267,34 +267,91 @@ def _block_segments(batch):
         yield doc[src], th[src], start, many, anchor.view(np.int64), body.view(np.int64)
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, text): a null id counts as the smallest; th tells texts of one id apart."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+def _folded(batches):
+    """(doc, th, start, many, anchor, body, again) of FOLD segments at a time, ascending by (doc, th, start).
+
+    again marks segments whose bytes stand earlier among them.
+    """
+    held, n = [], 0
+    for batch in _flushed(batches):
+        for part in _block_segments(batch) if batch is not None else [None]:
+            if part is not None:
+                held.append(part)
+                n += len(part[0])
+            if n >= FOLD or (part is None and n):
+                yield _fold([np.concatenate(x) for x in zip(*held)])
+                held, n = [], 0
+
+
+def _fold(cols):
+    doc, th, start = cols[:3]
+    later = (doc[1:] > doc[:-1]) | (doc[1:] == doc[:-1]) & ((th[1:] > th[:-1]) | (th[1:] == th[:-1]) & (start[1:] >= start[:-1]))
+    if not later.all():
+        order = np.lexsort((start, th, doc))
+        cols = [x[order] for x in cols]
+    anchor, body = cols[4], cols[5]
+    order = np.argsort(body, kind="stable")
+    a, b = anchor[order], body[order]
+    again = np.zeros(len(body), bool)
+    again[order[1:][(b[1:] == b[:-1]) & (a[1:] == a[:-1])]] = True
+    return *cols, again
+
+
+def _runs(doc, th, start, end):
+    """Maximal runs (doc, th, start, end) of ranges that ascend by (doc, th, start)."""
+    if not len(doc):
+        return doc, th, start, end
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] > end[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], th[at], start[at], end[np.append(at[1:], len(doc)) - 1]
+
+
+def _id(id_col: str):
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
+def _again(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """(near): the groups of ids that hold all repeated ones, at most BUCKETS; None if no id is repeated."""
+    again = docs.groupBy(_id(id_col).alias("doc")).agg(F.count("*").alias("n")).where("n > 1")
+    near = materialize(again.select(_bucket("doc").alias("near")).distinct(), "sa-again")
+    return None if near.isEmpty() else near
+
+
+def _bucket(column):
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS))
+
 
+def _identified(docs: DataFrame, near: DataFrame | None, id_col: str, text_col: str, names: tuple[str, str, str], *others) -> DataFrame:
+    """(doc, th, text) under these names, and others: a null id counts as the smallest; th tells texts of one id apart, and is 0 where no id of the group is repeated."""
+    doc, th, text = names
+    src = docs.select(*others, _id(id_col).alias(doc), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
+    if near is None:
+        return src.withColumn(th, F.lit(0).cast("long"))
+    hit = free_name("hit", src.columns)
+    key = free_name("near", src.columns)
+    tagged = src.withColumn(key, _bucket(doc)).join(F.broadcast(near.select(F.col("near").alias(key), F.lit(True).alias(hit))), key, "left")
+    return tagged.withColumn(th, F.when(F.col(hit), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).drop(key, hit)
 
-def _once(src: DataFrame) -> DataFrame:
-    """src with repeated rows once; only texts whose (doc, th) may be repeated are shuffled, and that once."""
-    again = materialize(src.groupBy("doc", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "sa-again")
-    if again.isEmpty():
+
+def _once(docs: DataFrame, near: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, text) with repeated rows once; only texts whose id may be repeated are shuffled, and that once."""
+    src = _identified(docs, near, id_col, text_col, ("doc", "th", "text")).select("doc", "th", "text")
+    if near is None:
         return src
-    bucket = F.pmod(F.xxhash64("doc"), F.lit(BUCKETS))
-    near = F.broadcast(again.select(bucket.alias("near")).distinct())
-    tagged = src.withColumn("near", bucket)
-    once = materialize(tagged.join(near, "near", "left_semi").select(*src.columns).distinct(), "sa-once")
-    return tagged.join(near, "near", "left_anti").select(*src.columns).unionByName(once)
+    once = src.withColumn("near", _bucket("doc")).join(F.broadcast(near), "near", "left_semi").select("doc", "th", "text").distinct()
+    rest = src.withColumn("near", _bucket("doc")).join(F.broadcast(near), "near", "left_anti").select("doc", "th", "text")
+    return rest.unionByName(materialize(once, "sa-once"))
 
 
 def _hot_anchors(src: DataFrame) -> list[int]:
     """Anchors with very many classes: at most MAX_HOT, whatever the data. The result decides how work is dealt out, never what is found."""
 
     def run(batches):
-        for batch in batches:
-            for doc, th, start, many, anchor, body in _block_segments(batch):
-                order, again = _local(doc, th, start, many, anchor, body)
-                a, n = np.unique(anchor[order][~again], return_counts=True)
-                often = n >= HOT_IN_BLOCK
-                yield pa.RecordBatch.from_arrays([pa.array(a[often]), pa.array(n[often].astype(np.int64))], names=["anchor", "n"])
+        for *_, anchor, _, again in _folded(batches):
+            a, n = np.unique(anchor[~again], return_counts=True)
+            often = n >= HOT_IN_FOLD
+            yield pa.RecordBatch.from_arrays([pa.array(a[often]), pa.array(n[often].astype(np.int64))], names=["anchor", "n"])
 
     sums = src.mapInArrow(task("suffix", run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     return [r["anchor"] for r in sums.where(F.col("n") >= HOT_CLASSES).orderBy(F.desc("n"), "anchor").limit(MAX_HOT).collect()]
@@ -302,53 +359,74 @@ def _hot_anchors(src: DataFrame) -> list[int]:
 
 _ROW = "kind int, anchor long, doc long, th long, start int, many int"
 REPEATED, SHARED, HOT = 0, 1, 2
+_FIELD = np.int64((1 << 31) - 1)
+
+
+def _rows(kind, anchor, doc, th, start, many) -> pa.RecordBatch:
+    cols = (np.broadcast_to(np.int32(kind), len(doc)) if np.isscalar(kind) else kind.astype(np.int32), anchor, doc, th, start.astype(np.int32), many.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["kind", "anchor", "doc", "th", "start", "many"])
 
 
 def _classes(src: DataFrame, hot: list[int]) -> DataFrame:
-    """_ROW: segments that are repeated throughout, and first segments of classes that share their anchor with others."""
+    """_ROW: ranges of segments that are repeated throughout, and first segments of classes that share their anchor with others."""
     ship(src.sparkSession)
     packed_hot = src.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.int64))
 
     def scan(batches):
-        for batch in batches:
-            for doc, th, start, many, anchor, body in _block_segments(batch):
-                order, again = _local(doc, th, start, many, anchor, body)
-                h = packed_hot.value
-                is_hot = np.isin(anchor, h) if len(h) else np.zeros(len(anchor), bool)
-                # dealt out by anchor; by class where the anchor is hot; anyhow where nothing is left to decide
-                repeated = np.zeros(len(anchor), bool)
-                repeated[order] = again
-                anyhow = doc.astype(np.int64) * np.int64(0x9E3779B97F4A7C1) + th + start * np.int64(0x85EBCA77C2B2AE3)
-                deal = np.where(repeated, anyhow, np.where(is_hot, body, anchor))
-                kind = np.where(repeated, REPEATED, np.where(is_hot, HOT, SHARED)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, kind, anchor, body, doc, th, start.astype(np.int32), many.astype(np.int32))], names=["deal", "kind", "anchor", "body", "doc", "th", "start", "many"])
-
-    rows = src.mapInArrow(task("suffix", scan), "deal long, kind int, anchor long, body long, doc long, th long, start int, many int")
-    rows = rows.repartition("deal").sortWithinPartitions("deal", "kind", "anchor", "body", "doc", "th", "start")
+        """A segment is dealt out by its anchor, by its class where the anchor is hot, and anyhow where nothing is left to decide."""
+        h = packed_hot.value
+        for doc, th, start, many, anchor, body, again in _folded(batches):
+            d, t, a, e = _runs(doc[again], th[again], start[again], (start + many + SPAN - 1)[again])
+            done = (d * np.int64(0x9E3779B97F4A7C1) + a * np.int64(0x85EBCA77C2B2AE3), np.zeros(len(d), np.int64), d, t, (a << 31) | (e - a - SPAN + 1))
+            new = ~again
+            doc, th, start, many, anchor, body = (x[new] for x in (doc, th, start, many, anchor, body))
+            is_hot = np.isin(anchor, h) if len(h) else np.zeros(len(anchor), bool)
+            place = (np.where(is_hot, np.int64(HOT - 4), np.int64(SHARED)) << 62) | (start << 31) | many
+            open_ = (np.where(is_hot, body, anchor), np.where(is_hot, anchor, body), doc, th, place)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(done, open_)], names=["deal", "other", "doc", "th", "place"])
+
+    rows = src.mapInArrow(task("suffix", scan), "deal long, other long, doc long, th long, place long")
+    rows = rows.repartition("deal").sortWithinPartitions("deal", "other", "doc", "th", "place")
 
     def decide(batches):
-        held = None
+        """Rows of a deal are one run, in which equal `other` is one class, of which the first row stays.
+
+        First rows are held until their run ends, or has more than HOT_CLASSES classes.
+        """
+        held = None  # columns (kind, deal, other, doc, th, start, many) of first rows whose run is open
+        last = None  # deal and other of the row before
+        over = None  # the deal of an open run whose first rows are already given out
         for b in _flushed(batches):
             if b is not None:
-                held = b if held is None else pa.concat_batches([held, b])
-            if held is None or not held.num_rows:
-                continue
-            deal, kind, anchor, body = (np.asarray(held.column(k)) for k in range(4))
-            new_run = np.concatenate([[True], (deal[1:] != deal[:-1]) | (kind[1:] != kind[:-1]) | (anchor[1:] != anchor[:-1])])
-            end = held.num_rows if b is None else int(np.flatnonzero(new_run)[-1])
-            if not end:
+                deal, other, doc, th, place = (np.asarray(b.column(k)) for k in range(5))
+                kind, start, many = (place >> 62) & 3, (place >> 31) & _FIELD, place & _FIELD
+                gone = kind == REPEATED
+                rest = np.flatnonzero(~gone)
+                d, o = deal[rest], other[rest]
+                before = np.concatenate([[False if last is None or not len(rest) else (d[0], o[0]) == last], (d[1:] == d[:-1]) & (o[1:] == o[:-1])])[: len(rest)]
+                if len(rest):
+                    last = (d[-1], o[-1])
+                gone[rest[before]] = True
+                yield _rows(REPEATED, np.zeros(int(gone.sum()), np.int64), doc[gone], th[gone], start[gone], many[gone])
+                new = [x[rest[~before]] for x in (kind, deal, other, doc, th, start, many)]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if held is None or not len(held[0]):
                 continue
-            new_run = new_run[:end]
-            new_class = new_run | np.concatenate([[True], body[1:end] != body[: end - 1]])
-            run = np.cumsum(new_run) - 1
-            classes = np.bincount(run, new_class)[run]
-            k = kind[:end]
-            gone = (k == REPEATED) | ~new_class
-            ask = ~gone & ((k == HOT) | (classes > 1))
-            keep = np.flatnonzero(gone | ask)
-            part = held.slice(0, end).take(pa.array(keep))
-            held = held.slice(end)
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(gone, REPEATED, k)[keep].astype(np.int32)), *(part.column(x) for x in (2, 4, 5, 6, 7))], names=["kind", "anchor", "doc", "th", "start", "many"])
+            kind, deal = held[:2]
+            first = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]]))
+            size = np.diff(np.append(first, len(deal)))
+            given = (deal[first] == over) if over is not None else np.zeros(len(first), bool)
+            whole = np.ones(len(first), bool)
+            if b is not None:  # the last run may go on
+                whole[-1] = size[-1] > HOT_CLASSES or given[-1]
+                over = deal[first[-1]] if whole[-1] else None
+            many_classes = np.repeat((size > HOT_CLASSES) | given, size)
+            ask = np.repeat(whole, size) & ((kind == HOT) | np.repeat(size > 1, size) | many_classes)
+            k, d, o, doc, th, start, many = (x[ask] for x in held)
+            anchor = np.where(k == HOT, o, d)
+            yield _rows(np.where(many_classes[ask], HOT, k), anchor, doc, th, start, many)
+            open_ = ~np.repeat(whole, size)
+            held = [x[open_] for x in held]
 
     return rows.mapInArrow(task("suffix", decide), _ROW)
 
@@ -363,9 +441,8 @@ def _with_texts(src: DataFrame, lists: DataFrame) -> DataFrame:
 
     The filter is a table of at most BUCKETS hash values, whatever the data.
     """
-    bucket = F.pmod(F.xxhash64("doc"), F.lit(BUCKETS))
-    near = lists.select(bucket.alias("bucket")).distinct()
-    return src.withColumn("bucket", bucket).join(F.broadcast(near), "bucket", "left_semi").drop("bucket").join(lists, ["doc", "th"])
+    near = lists.select(_bucket("doc").alias("bucket")).distinct()
+    return src.withColumn("bucket", _bucket("doc")).join(F.broadcast(near), "bucket", "left_semi").drop("bucket").join(lists, ["doc", "th"])
 
 
 def _cut(batches, each):
@@ -432,11 +509,8 @@ def _array_ranges(rows: pa.RecordBatch) -> pa.RecordBatch:
     d, t, p = doc[part[later]], th[part[later]], pos[later]
     order = np.lexsort((p, t, d))
     d, t, p = d[order], t[order], p[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + SPAN)
-    at = np.flatnonzero(new)
-    end = p[np.append(at[1:], len(p)) - 1] + SPAN if len(p) else p
-    return pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(t[at]), pa.array(p[at].astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "th", "start", "end"])
+    d, t, a, e = _runs(d, t, p, p + SPAN)
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(a.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc", "th", "start", "end"])
 
 
 def _hot_ranges(src: DataFrame, classes: DataFrame) -> DataFrame:
@@ -464,19 +538,26 @@ def _hot_ranges(src: DataFrame, classes: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, th, ranges): the byte ranges of each text that go, not yet merged; texts that lose nothing are left out.
 
-    Strings are judged on the input. Order is by id, then start; a null id counts as the smallest.
-    Rows of one id with different texts are different documents, in the order of a hash of their
-    texts; repeated rows are one document, which repeats nothing of itself but what starts earlier in it.
+    Strings are judged on the input. Order is by id, then start; ids are whole numbers, a null id
+    counts as the smallest. Rows of one id with different texts are different documents, in the order
+    of a hash of their texts, which is th (0 where the id is not repeated); repeated rows are one
+    document, which repeats nothing of itself but what starts earlier in it.
     """
+    return _ranges(docs, _again(docs, id_col), id_col, text_col)
+
+
+def _ranges(docs: DataFrame, near: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    src = _once(_identified(docs, id_col, text_col))
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of whole numbers: their order says which copy is first")
+    src = _once(docs, near, id_col, text_col)
     hot = _hot_anchors(src)
     classes = materialize(_classes(src, hot), "sa-classes")
     free_shuffles(spark)
     ranges = classes.where(F.col("kind") == REPEATED).select("doc", "th", "start", (F.col("start") + F.col("many") + SPAN - 1).alias("end"))
     ranges = ranges.union(_shared_ranges(src, classes))
-    if hot:
+    if not classes.where(F.col("kind") == HOT).isEmpty():
         ranges = ranges.union(_hot_ranges(src, classes))
     out = materialize(ranges.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "sa-ranges")
     release(classes)
@@ -493,22 +574,28 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack([r[at, 0], top[np.append(at[1:], len(r)) - 1]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
-    """docs with columns n_bytes, spans array<struct<start,end>> (maximal removed runs) and kept binary; kept is null where nothing goes.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, into: tuple[str, str, str] = ("n_bytes", "spans", "kept")) -> DataFrame:
+    """docs with the columns of `into`: n_bytes, spans array<struct<start,end>> (maximal removed runs) and kept binary; kept is null where nothing goes.
 
     With whole_characters, what is left of a character that a removed run cuts goes from kept too.
-    A null text has no bytes. Extra columns stay as they are, unless they are named like these.
+    A null text has no bytes; an empty table gives no rows. Columns of docs stay as they are; one
+    that is named as in `into` is an error, since the result would have it twice.
     """
-    src = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
-    ranges = repeated_ranges(docs, id_col, text_col)
-    bucket = F.pmod(F.xxhash64("doc"), F.lit(BUCKETS))
-    near = ranges.select(bucket.alias("near")).distinct().withColumn("hit", F.lit(True))
-    tagged = src.withColumn("near", bucket).join(F.broadcast(near), "near", "left").drop("near")
-    n_bytes = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes")
-    span_type = "array<struct<start:int,end:int>>"
+    if twice := set(into) & set(docs.columns):
+        raise ValueError(f"columns {sorted(twice)} are in docs; name the result's columns by `into`")
+    near = _again(docs, id_col)
+    ranges = _ranges(docs, near, id_col, text_col)
     names = docs.columns
-    plain = tagged.where("hit is null").select(*names, n_bytes, F.array().cast(span_type).alias("spans"), F.lit(None).cast("binary").alias("kept"))
-    asked = tagged.where("hit").join(ranges, ["doc", "th"], "left").select(*names, n_bytes, "ranges", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    doc, th, text, key, hit = (free_name(x, [*names, *into]) for x in ("doc", "th", "text", "near", "hit"))
+    src = _identified(docs, near, id_col, text_col, (doc, th, text), *[F.col(f"`{c}`") for c in names])
+    groups = ranges.select(_bucket("doc").alias(key)).distinct().withColumn(hit, F.lit(True))
+    tagged = src.withColumn(key, _bucket(doc)).join(F.broadcast(groups), key, "left").drop(key)
+    n_bytes = F.octet_length(text).cast("long").alias(into[0])
+    span_type = "array<struct<start:int,end:int>>"
+    own = [F.col(f"`{c}`") for c in names]
+    plain = tagged.where(F.col(hit).isNull()).select(*own, n_bytes, F.array().cast(span_type).alias(into[1]), F.lit(None).cast("binary").alias(into[2]))
+    found = ranges.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("ranges").alias(key))
+    asked = tagged.where(F.col(hit)).join(found, [doc, th], "left").select(*own, n_bytes, key, text)
 
     def cut(batches):
         for batch in batches:
@@ -528,7 +615,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 base = int(off[i])
                 left = b"".join(data[base + a : base + b] for a, b in zip(edges[::2], edges[1::2])) if len(m) else None
                 kept.append(left.decode("utf-8", "ignore").encode() if whole_characters and left else left)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=[*names, *into])
 
     return plain.unionByName(asked.mapInArrow(task("suffix", cut), plain.schema))
 
