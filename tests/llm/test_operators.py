@@ -319,6 +319,37 @@ def test_shards(spark, docs, none):
     assert sharding.shard_documents(none, 8).count() == 0
     two = sharding.kd_shards(docs.select("doc_id", F.col("n_chars").alias("size")), ["size"], "size", "doc_id", target_bytes=2000)
     assert two.agg(F.countDistinct("shard")).first()[0] > 2
+    with pytest.raises(ValueError):
+        sharding.kd_shards(two, ["size"], "size", "doc_id", leaves=2)
+
+
+def _parted(points: list[tuple], first: int, k: int) -> bool:
+    """Whether (dims, shard) of points are the leaves of a k-d tree: halves that one dimension tells apart."""
+    if k <= 1 or len({d for d, _ in points}) < 2:
+        return True
+    left, right = [p for p in points if p[1] < first + k // 2], [p for p in points if p[1] >= first + k // 2]
+    apart = not left or not right or any(max(p[0][d] for p in left) <= min(p[0][d] for p in right) for d in range(len(points[0][0])))
+    return apart and _parted(left, first, k // 2) and _parted(right, first + k // 2, k - k // 2)
+
+
+@pytest.mark.parametrize("share", [0.11, 0.4])
+def test_shards_keep_groups_whole(spark, share):
+    """A group of copies that fits a shard stays whole, sizes stay near equal, and all else is a k-d tree."""
+    copies = int(2000 * share)
+    own = [(k, "x" * (20 + k * 7919 % 400) + str(k) + "\n" * (k % 7)) for k in range(2000 - copies)]
+    texts = [*own, *[(10_000 + k, "y" * 220) for k in range(copies)], (None, None), (None, None), (5, own[5][1]), (5, own[5][1])]
+    rows = sharding.shard_documents(spark.createDataFrame([(k, t, k, t, 1) for k, t in texts], "doc_id long, text string, node long, w string, shard int").repartition(5), 8).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(k) for k, _ in texts)
+    size, where = [0] * 8, {}
+    for r in rows:
+        size[r.shard] += r.size
+        where.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    assert max(size) - min(size) <= 0.02 * sum(size) / 8
+    big = (221, zlib.crc32(b"y" * 220))
+    assert all(len(x) == 1 for g, x in where.items() if g != big) and (len(where[big]) == 1 if share < 0.125 else len(where[big]) > 1)
+    lines = {(len((t or "").encode()) + 1, zlib.crc32((t or "").encode())): (t or "").count("\n") for _, t in texts}
+    light = 0.01 * sum(size) / 8
+    assert _parted([((g[0], lines[g], g[1]), min(x)) for g, x in where.items() if g != big and g[0] * sum((r.size, r.text_crc32) == g for r in rows) < light], 0, 8)
 
 
 # ---- 8

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes that one vectorised step works on; an Arrow batch is cut into such blocks.
 BLOCK_BYTES = 1 << 20
@@ -145,6 +147,14 @@ def read_tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame
     return [table(spark, sf_dir, n) for n in names]
 
 
+def local_rows(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """The driver's own rows as a relation that lives in the plan: no task and no Python worker makes them."""
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    kinds = to_arrow_schema(schema)
+    cols = list(zip(*rows)) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds.types)], names=schema.names), schema)
+
+
 def free_name(name: str, taken) -> str:
     """name, with underscores in front until no column of `taken` has it, whatever the case."""
     lower = {c.lower() for c in taken}

@@ -2,23 +2,36 @@
 
 The tree is grown level by level over a narrow table of the rows' metadata. A node that is to hold
 k leaves is split along its widest dimension, relative to the whole table's range, at the weighted
-quantile that leaves floor(k / 2) leaves' share of bytes on the left; for two leaves this is the
-weighted median. Quantiles of all nodes of a level are found together and exactly: a histogram of
-BINS bins for each node picks the bin that holds the quantile, and that bin is divided again until
-it is one value. Rows of equal metadata stay together unless that would put a node's halves off by
-more than TOLERANCE; then, and only then, the rows at the cut are divided by a hash of their ids.
+quantile that leaves the share of its first floor(k / 2) leaves on the left; for two leaves this is
+the weighted median. Quantiles of all nodes of a level are found together and exactly: a histogram
+of BINS bins for each node picks the bin that holds the quantile, and that bin is divided again
+until it is one value; groups of rows with that value are then told apart by a hash of their metadata.
+
+Rows of equal metadata are a group and stay together. A group that is heavy beside a leaf would put
+the cut that it straddles off, so such groups are dealt first, the heaviest first, to the leaf with
+the most room, and the tree splits all else such that each leaf fills the room it has left. Only a
+group that outweighs a whole leaf is divided, by a hash of its ids, where a cut goes through it.
+
+All of it is DataFrame operations; what the driver knows (a row for each node, or each heavy group)
+goes back into plans as local relations.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from treelace.llm.common import materialize, read_tables, release
+from treelace.llm.common import free_name, local_rows, materialize, read_tables, release
 
 BINS = 4096
+#: Share of a node's bytes by which a cut may miss its target before groups of one value are told apart.
 TOLERANCE = 0.001
+#: A group is heavy from this share of a leaf's bytes, and from one part in MAX_HEAVY of all, so there are at most MAX_HEAVY.
+HEAVY = 0.01
+MAX_HEAVY = 100_000
 #: Rows numbered by one task.
 CHUNK_ROWS = 4096
 _TIE = 1 << 40
@@ -54,65 +67,101 @@ def _cut(rows: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
             F.col("mass").alias("at"),
         )
         got = state.collect()  # one row for each node
-        state = spark.createDataFrame(got, state.schema)
+        state = local_rows(spark, got, state.schema)
         if span < BINS:
             return state.select("node", F.col("lo").alias("cut"), "below", "at")
         span = max(r["hi"] - r["lo"] for r in got)
         state = state.drop("at")
 
 
-def kd_shards(points: DataFrame, dims: list[str], weight: str, id_col: str, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """points with a column shard: the leaf of a k-d tree, 0 to leaves - 1.
-
-    dims are columns of whole numbers; null counts as the smallest value. weight is a positive
-    whole number, null counts as 1. leaves, or target_bytes of a leaf, from which leaves follow.
-    Repeated rows with equal ids stay together. An empty table gives an empty result.
+def _dealt(groups: list, leaves: int, total: int) -> tuple[list[tuple], list[float]]:
+    """([(group, leaf)], room of each leaf): groups of at most a leaf's bytes, the heaviest first, to the leaf with the most room."""
+    room = [total / leaves] * leaves
+    heap = [(-x, leaf) for leaf, x in enumerate(room)]
+    out = []
+    for g in sorted(groups, key=lambda r: (-r[-1], tuple(r[:-1]))):
+        if g[-1] > total / leaves:
+            continue
+        _, leaf = heap[0]
+        room[leaf] -= g[-1]
+        heapq.heapreplace(heap, (-room[leaf], leaf))
+        out.append((*g[:-1], leaf))
+    return out, [max(0.0, x) for x in room]
+
+
+def kd_shards(points: DataFrame, dims: list[str], weight: str, id_col: str, leaves: int | None = None, target_bytes: int | None = None, into: str = "shard") -> DataFrame:
+    """points with a column `into`: the leaf of a k-d tree, 0 to leaves - 1.
+
+    dims are columns of whole numbers; null counts as 0. weight is a positive whole number, null
+    counts as 1. leaves, or target_bytes of a leaf, from which leaves follow. Rows that are equal in
+    dims have one leaf unless together they outweigh a leaf; then rows with equal ids do. An empty
+    table gives an empty result. A column of points that is named like `into` is an error.
     """
-    cols = [F.coalesce(F.col(d).cast("long"), F.lit(0).cast("long")).alias(f"_d{k}") for k, d in enumerate(dims)]
-    base = points.select("*", *cols, F.coalesce(F.col(weight).cast("long"), F.lit(1).cast("long")).alias("w"), F.pmod(F.xxhash64(id_col), F.lit(_TIE)).alias("tie"))
-    names = [f"_d{k}" for k in range(len(dims))]
-    root = base.agg(F.sum("w").alias("w"), *[F.min(c).alias(f"lo{c}") for c in names], *[F.max(c).alias(f"hi{c}") for c in names]).first()
+    if into in points.columns:
+        raise ValueError(f"column {into} is in points")
+    spark = points.sparkSession
+    taken = [*points.columns, into]
+    names = [free_name(f"d{k}", taken) for k in range(len(dims))]
+    w, tie, node, dealt = (free_name(x, taken) for x in ("w", "tie", "node", "dealt"))
+    own = [F.col(f"`{c}`") for c in points.columns]
+    cols = [F.coalesce(F.col(d).cast("long"), F.lit(0).cast("long")).alias(n) for d, n in zip(dims, names)]
+    base = points.select(*own, *cols, F.coalesce(F.col(weight).cast("long"), F.lit(1).cast("long")).alias(w))
+    root = base.agg(F.sum(w).alias("w"), *[F.min(c).alias(f"lo{c}") for c in names], *[F.max(c).alias(f"hi{c}") for c in names]).first()
     if root["w"] is None:
-        return points.withColumn("shard", F.lit(0))
+        return points.withColumn(into, F.lit(0))
     leaves = leaves or max(1, -(-root["w"] // target_bytes))
     range_of = [max(1, root[f"hi{c}"] - root[f"lo{c}"]) for c in names]
-    spark = points.sparkSession
-    rows = base.withColumn("node", F.lit(0).cast("long"))
+    least = max(HEAVY * root["w"] / leaves, root["w"] / MAX_HEAVY)
+    groups = base.groupBy(*names).agg(F.sum(w).alias(w)).where(F.col(w) > least).collect()  # at most MAX_HEAVY rows
+    given, room = _dealt(groups, leaves, root["w"])
+    known = [*given, *((*g[:-1], -1) for g in groups if g[-1] > root["w"] / leaves)]  # -1: larger than a leaf
+    heavy = local_rows(spark, known, ", ".join(f"`{c}` long" for c in names) + f", `{dealt}` int")
+    tied = F.pmod(F.when(F.col(dealt) == -1, F.xxhash64(F.col(f"`{id_col}`"), *names)).otherwise(F.xxhash64(*names)), F.lit(_TIE))
+    rows = materialize(base.join(F.broadcast(heavy), names, "left").select(*own, *names, w, dealt, tied.alias(tie), F.lit(0).cast("long").alias(node)), "kd-rows")
+    ready = rows.where(F.col(dealt) >= 0).select(*own, F.col(dealt).alias(into))
+    first_rows, rows = rows, rows.where(F.col(dealt).isNull() | (F.col(dealt) < 0))
+    share = lambda first, k: sum(room[first : first + k]) or k
     nodes = {0: (0, leaves)}  # node -> its first leaf and how many
+    level = None
     while any(k > 1 for _, k in nodes.values()):
-        kept = rows
         split = {n: x for n, x in nodes.items() if x[1] > 1}
-        stats = rows.groupBy("node").agg(F.sum("w").alias("w"), *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in names]).collect()
+        stats = rows.groupBy(node).agg(F.sum(w).alias("w"), *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in names]).collect()
         plan = []
         for r in stats:
-            if r["node"] in split:
-                k = split[r["node"]][1]
+            if r[node] in split:
+                first, k = split[r[node]]
                 wide = max(range(len(names)), key=lambda d: ((r[names[d]]["hi"] - r[names[d]]["lo"]) / range_of[d], -d))
-                plan.append((r["node"], wide, r[names[wide]]["lo"], r[names[wide]]["hi"], max(1, r["w"] * (k // 2) // k), r["w"]))
-        info = spark.createDataFrame(plan, "node long, dim int, lo long, hi long, target long, total long")
-        value = F.element_at(F.array(*names), F.col("dim") + 1)
-        valued = kept.join(F.broadcast(info.select("node", "dim")), "node").select("node", "w", "tie", value.alias("v"))
-        cuts = {r["node"]: r for r in _cut(valued, info.select("node", "lo", "hi", "target"), "v").collect()}
-        ties, final = [], {}
-        for node, dim, _, _, target, total in plan:
-            c = cuts[node]
-            off_left, off_right = c["below"] + c["at"] - target, target - c["below"]
-            if min(off_left, off_right) <= TOLERANCE * total:
-                final[node] = (node, dim, c["cut"], _TIE if off_left <= off_right else -1)
-            else:
-                ties.append((node, 0, _TIE - 1, max(1, target - c["below"]), c["cut"], dim))
-        if ties:
-            tied = spark.createDataFrame(ties, "node long, lo long, hi long, target long, cut long, dim int")
-            at = valued.join(F.broadcast(tied.select("node", "cut")), "node").where(F.col("v") == F.col("cut"))
-            inner = {r["node"]: r for r in _cut(at.select("node", "w", F.col("tie").alias("v")), tied.select("node", "lo", "hi", "target"), "v").collect()}
-            for node, _, _, target, cut, dim in ties:
-                c = inner[node]
-                up = c["below"] + c["at"] - target <= target - c["below"]
-                final[node] = (node, dim, cut, c["cut"] if up else c["cut"] - 1)
-        where = spark.createDataFrame(list(final.values()), "node long, dim int, cut long, upto long")
-        left = (value < F.col("cut")) | ((value == F.col("cut")) & (F.col("tie") <= F.col("upto")))
-        moved = kept.join(F.broadcast(where), "node", "left")
-        rows = moved.withColumn("node", F.when(F.col("cut").isNull(), F.col("node") * 2).when(left, F.col("node") * 2).otherwise(F.col("node") * 2 + 1)).drop("dim", "cut", "upto")
+                target = int(r["w"] * share(first, k // 2) / (share(first, k // 2) + share(first + k // 2, k - k // 2)))
+                plan.append((r[node], wide, r[names[wide]]["lo"], r[names[wide]]["hi"], min(max(1, target), r["w"]), r["w"]))
+        final = {}
+        if plan:
+            info = local_rows(spark, plan, "node long, dim int, lo long, hi long, target long, total long")
+            value = F.element_at(F.array(*names), F.col("dim") + 1)
+            narrow = rows.select(F.col(node).alias("node"), F.col(w).alias("w"), F.col(tie).alias("tie"), *names)
+            valued = narrow.join(F.broadcast(info.select("node", "dim")), "node").select("node", "w", "tie", value.alias("v"))
+            cuts = {r["node"]: r for r in _cut(valued, info.select("node", "lo", "hi", "target"), "v").collect()}
+            ties = []
+            for n, dim, _, _, target, total in plan:
+                c = cuts[n]
+                off_left, off_right = c["below"] + c["at"] - target, target - c["below"]
+                if min(off_left, off_right) <= TOLERANCE * total:
+                    final[n] = (n, dim, c["cut"], _TIE if off_left <= off_right else -1)
+                else:
+                    ties.append((n, 0, _TIE - 1, max(1, target - c["below"]), c["cut"], dim))
+            if ties:
+                at_cut = local_rows(spark, ties, "node long, lo long, hi long, target long, cut long, dim int")
+                at = valued.join(F.broadcast(at_cut.select("node", "cut")), "node").where(F.col("v") == F.col("cut"))
+                inner = {r["node"]: r for r in _cut(at.select("node", "w", F.col("tie").alias("v")), at_cut.select("node", "lo", "hi", "target"), "v").collect()}
+                for n, _, _, target, cut, dim in ties:
+                    c = inner[n]
+                    up = c["below"] + c["at"] - target <= target - c["below"]
+                    final[n] = (n, dim, cut, c["cut"] if up else c["cut"] - 1)
+        key, dim, cut, upto = (free_name(x, [*taken, *names, w, tie, node, dealt]) for x in ("key", "dim", "cut", "upto"))
+        where = local_rows(spark, list(final.values()), f"`{key}` long, `{dim}` int, `{cut}` long, `{upto}` long")
+        value = F.element_at(F.array(*names), F.col(dim) + 1)
+        left = (value < F.col(cut)) | ((value == F.col(cut)) & (F.col(tie) <= F.col(upto)))
+        moved = rows.join(F.broadcast(where), rows[node] == where[key], "left")
+        child = F.when(F.col(cut).isNull(), F.col(node) * 2).when(left, F.col(node) * 2).otherwise(F.col(node) * 2 + 1)
         grown = {}
         for n, (first, k) in nodes.items():
             if n in final:
@@ -120,11 +169,16 @@ def kd_shards(points: DataFrame, dims: list[str], weight: str, id_col: str, leav
             else:  # a leaf, or a node without rows
                 grown[2 * n] = (first, 1)
         nodes = grown
-        rows = materialize(rows, "kd-level")
-        if kept is not base:
-            release(kept)
-    leaf = spark.createDataFrame([(n, first) for n, (first, _) in nodes.items()], "node long, shard int")
-    return rows.join(F.broadcast(leaf), "node").drop("node", "w", "tie", *names)
+        rows = materialize(moved.select(*own, *names, w, tie, child.alias(node)), "kd-level")
+        if level is not None:
+            release(level)
+        level = rows
+    leaf_of = local_rows(spark, [(n, first) for n, (first, _) in nodes.items()], f"`{node}` long, `{into}` int")
+    out = rows.join(F.broadcast(leaf_of), node).select(*own, into)
+    if not given and level is not None:
+        release(first_rows)
+        return out
+    return out.unionByName(ready)
 
 
 def slots(rows: DataFrame, shard_col: str, order: list[str]) -> DataFrame:
@@ -144,9 +198,9 @@ def slots(rows: DataFrame, shard_col: str, order: list[str]) -> DataFrame:
 def shard_documents(docs: DataFrame, leaves: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, size, text_crc32, shard, slot) under the law `bytes`: shards hold near-equal bytes.
 
-    The metadata are the text's bytes, its lines and its checksum, so equal texts are one point of
-    the tree and share a shard, unless a group of them outweighs the tolerance. A null text has no
-    bytes and size 1. Null ids are fine; repeated rows are kept; other columns are ignored.
+    The metadata are the text's bytes, its lines and its checksum, so equal texts are one group and
+    share a shard, unless together they outweigh one. A null text has no bytes and size 1. Null ids
+    are fine; repeated rows are kept; other columns are ignored; an empty table gives no rows.
     """
     text = F.col(text_col).cast("string")
     raw = F.coalesce(text, F.lit("")).cast("binary")
