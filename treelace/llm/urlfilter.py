@@ -4,10 +4,9 @@ Names without separators are split into words by Viterbi decoding under a unigra
 are a fixed list of English seeds and the separated parts of all hosts and paths, each counted once
 for a registered domain; a part that splits into other words of the model is a joined name and no
 word, however frequent. The segmented tokens of host and path are scored by multinomial naive Bayes
-models of two classes. No table labels URLs, so the classes are seeded: a host whose segmentation has
-a word of BLOCK_SEEDS teaches `block`, every other one `allow`, and what stands beside the seeds is
-learned from all distinct hosts and urls. Words, counts and odds are tables that are joined; none is
-cut to a size or held by one process.
+models of two classes. No table labels URLs; the rules do: a URL that a rule decides teaches its
+verdict, and all others are judged by what was learned. Words, counts and odds are tables that are
+joined; none is cut to a size or held by one process.
 """
 
 from __future__ import annotations
@@ -21,12 +20,6 @@ from pyspark.sql import functions as F
 
 from treelace.llm.common import materialize, read_tables, ship, task
 
-#: Words that mark a host to be blocked.
-BLOCK_SEEDS = (
-    "adult", "ads", "adserver", "bets", "betting", "casino", "cheap", "drugs", "escort", "gamble", "gambling", "jackpot",
-    "loan", "lottery", "malware", "nude", "payday", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "track",
-    "tracker", "viagra", "warez", "xxx",
-)
 #: Common words of names, so that joined names can be split from the start.
 WORD_SEEDS = (
     "best", "blog", "book", "buy", "city", "click", "club", "cloud", "data", "day", "deal", "download", "farm", "forum",
@@ -34,13 +27,13 @@ WORD_SEEDS = (
     "music", "net", "news", "now", "online", "page", "photo", "play", "sale", "school", "search", "shop", "site", "sport",
     "store", "tech", "the", "top", "travel", "video", "web", "wiki", "win", "work", "world",
 )
-#: Labels of a host that say nothing of its kind.
-PLAIN = frozenset({"www", "m", "com", "org", "net", "http", "https", "html"})
 #: (verdict, host, path prefix) of the rules of the query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Times that a seed word counts as seen at least.
 MIN_SEED = 200
 SMOOTHING = 1.0
+#: Folds of labelled urls by a hash of host and path, and the one that agreement() holds out.
+FOLDS, HELD_OUT = 4, 2
 #: Characters of the longest word; a longer run is cut where it must be.
 LONGEST = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,11 +100,11 @@ def _parts(text: Column) -> Column:
     return F.transform(runs, lambda w: F.when(w.rlike(r"^\p{N}+$"), F.lit("#")).otherwise(w))
 
 
-def _exploded(urls: DataFrame, *keys: str) -> DataFrame:
-    """(keys, pos, is_host, w): the parts of host, and of path where it is a key."""
+def _exploded(urls: DataFrame, *keys: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """(others, keys, pos, is_host, w): the parts of host and of path, whichever are keys."""
     named = lambda k: F.transform(_parts(F.col(k)), lambda w: F.struct(F.lit(k == "host").alias("is_host"), w.alias("w")))
     kinds = [named(k) for k in keys]
-    return urls.select(*keys, F.posexplode(F.concat(*kinds)).alias("pos", "part")).select(*keys, "pos", "part.is_host", "part.w")
+    return urls.select(*others, *keys, F.posexplode(F.concat(*kinds)).alias("pos", "part")).select(*others, *keys, "pos", "part.is_host", "part.w")
 
 
 def _split(names: DataFrame, model: DataFrame, total: int, own: bool) -> DataFrame:
@@ -149,7 +142,7 @@ def segment(urls: DataFrame) -> DataFrame:
     seen = urls.select(domain, F.explode(F.array_distinct(F.concat(_parts(F.col("host")), _parts(F.col("path"))))).alias("w")).distinct()
     parts = materialize(seen.groupBy("w").agg(F.count("*").alias("n")), "url-parts")
     counts = parts.where("w <> '#'")
-    seeds = (*BLOCK_SEEDS, *WORD_SEEDS)
+    seeds = WORD_SEEDS
     seen_in_all = counts.agg(F.sum("n")).first()[0] or 0
     weight = max(MIN_SEED, seen_in_all // len(seeds))  # the seeds weigh as much as all that is seen
     sown = urls.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, seeds))).alias("w"), F.lit(weight).cast("long").alias("n"))
@@ -160,35 +153,23 @@ def segment(urls: DataFrame) -> DataFrame:
     return materialize(_split(parts, words, total, own=True).select("w", "tokens"), "url-splits")
 
 
-def learn(urls: DataFrame, splits: DataFrame) -> DataFrame:
-    """(is_host, t, odds): log-odds of `block` for the tokens of distinct urls(host, path), both classes being as likely beforehand.
+def learn(labelled: DataFrame, splits: DataFrame) -> DataFrame:
+    """(is_host, t, odds): log-odds of `block` for the tokens of distinct labelled(host, path, bad), both classes being as likely beforehand.
 
-    Host tokens are counted by hosts, path tokens by urls, each kind normalised for itself. A token that
-    is common is kept, for what its share in the classes says: smoothing is towards the share of both,
-    so a path token of which a class knows nothing has odds of about 0. The seeds together weigh as
-    much as all that is known of allowed hosts.
+    Host tokens are counted by hosts in each class, path tokens by urls, each kind normalised for
+    itself. Smoothing is towards the share of both classes, so a token of which nothing is known in
+    a class, or a class without urls, says nothing.
     """
-    is_bad = F.arrays_overlap("tokens", F.array(*map(F.lit, BLOCK_SEEDS)))
-    named = urls.where("host <> ''")
-    hosts = _exploded(named.select("host").distinct(), "host").join(splits, "w").groupBy("host").agg(F.max(is_bad).alias("bad"), F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("ts"))
-    paths = _exploded(named, "host", "path").join(splits, "w").groupBy("host", "path").agg(F.max(F.col("is_host") & is_bad).alias("bad"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("is_host"), F.col("tokens"))))).alias("ts"))
-    tokens = hosts.select(F.lit(True).alias("is_host"), "bad", F.explode("ts").alias("t")).where(~F.col("t").isin(*PLAIN))
-    tokens = tokens.unionByName(paths.select(F.lit(False).alias("is_host"), "bad", F.explode("ts").alias("t")))
+    hosts = _exploded(labelled.select("host", "bad").distinct(), "host", others=("bad",)).join(splits, "w").groupBy("host", "bad").agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("ts"))
+    paths = _exploded(labelled, "path", others=("host", "bad")).join(splits, "w").groupBy("host", "path", "bad").agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("ts"))
+    tokens = hosts.select(F.lit(True).alias("is_host"), "bad", F.explode("ts").alias("t")).unionByName(paths.select(F.lit(False).alias("is_host"), "bad", F.explode("ts").alias("t")))
     counts = materialize(tokens.groupBy("is_host", "t").agg(F.count_if(~F.col("bad")).alias("a"), F.count_if("bad").alias("b")), "url-counts")
-    seed = F.col("is_host") & F.col("t").isin(*BLOCK_SEEDS)
-    sums = {r["is_host"]: r for r in counts.groupBy("is_host").agg(*(F.coalesce(F.sum(F.when(~seed, F.col(k))), F.lit(0)).alias(k) for k in "ab"), F.count_if(~seed).alias("size"), F.coalesce(F.sum(F.when(seed, F.col("b"))), F.lit(0)).alias("sown")).collect()}
-    weight = max(1, math.ceil(sums[True]["a"] / len(BLOCK_SEEDS))) if True in sums else 0
     odds = F.lit(0.0)
-    for kind, r in sums.items():
-        sown = r["sown"] + weight * len(BLOCK_SEEDS) if kind else 0
-        mass = SMOOTHING * max(1, r["size"])
-        prior = mass * (F.col("a") + F.col("b")) / max(1, r["a"] + r["b"])
-        plain = F.log((F.col("b") + prior) / (r["b"] + sown + mass)) - F.log((F.col("a") + prior) / (r["a"] + mass))
-        odds = F.when(F.col("is_host") == kind, plain).otherwise(odds)
-    if (r := sums.get(True)) is not None:
-        mass = SMOOTHING * (r["size"] + len(BLOCK_SEEDS) + 1)
-        of_seed = F.log((F.col("b") + weight + SMOOTHING) / (r["b"] + r["sown"] + weight * len(BLOCK_SEEDS) + mass)) - math.log(SMOOTHING / (r["a"] + mass))
-        odds = F.when(seed, of_seed).otherwise(odds)
+    for r in counts.groupBy("is_host").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("size")).collect():  # hosts and paths: two rows
+        mass = SMOOTHING * r["size"]
+        prior = mass * (F.col("a") + F.col("b")) / (r["a"] + r["b"])
+        of_kind = F.log((F.col("b") + prior) / (r["b"] + mass)) - F.log((F.col("a") + prior) / (r["a"] + mass))
+        odds = F.when(F.col("is_host") == r["is_host"], of_kind).otherwise(odds)
     return materialize(counts.select("is_host", "t", odds.alias("odds")), "url-odds")
 
 
@@ -197,30 +178,51 @@ def _total() -> Column:
     return F.aggregate(F.sort_array(F.collect_list(F.struct("pos", "odds"))), F.lit(0.0), lambda s, x: s + x["odds"]).alias("odds")
 
 
-def scores(urls: DataFrame) -> DataFrame:
-    """(host, path, odds) of distinct urls(host, path) that have any part; plain labels don't count."""
+def scores(urls: DataFrame, rules: Iterable[tuple[str, str, str]], learned: Column | None = None) -> DataFrame:
+    """(host, path, odds) of distinct urls(host, path) that have any part; learned limits the urls that teach."""
     splits = segment(urls)
-    odds = learn(urls, splits)
+    _, verdict = rule_and_verdict(F.col("host"), F.col("path"), rules)
+    labelled = urls.where(verdict.isNotNull() if learned is None else verdict.isNotNull() & learned)
+    odds = learn(labelled.select("host", "path", (verdict == "block").alias("bad")), splits)
     tokens = splits.select("w", F.posexplode("tokens").alias("pos", "t")).withColumn("is_host", F.explode(F.array(F.lit(True), F.lit(False))))
     parts = tokens.join(odds, ["is_host", "t"], "left").fillna(0.0, ["odds"]).groupBy("is_host", "w").agg(_total())
     parts = materialize(parts, "url-part-odds")
     return _exploded(urls, "host", "path").join(parts, ["is_host", "w"]).groupBy("host", "path").agg(_total())
 
 
+def _urls(pages: DataFrame, url_col: str, *others) -> DataFrame:
+    host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
+    return pages.select(*others, host.alias("host"), path.alias("path"))
+
+
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id_col, host, path, rule, verdict, block_odds) of every row.
 
     A row that a rule fits has the rule's verdict; any other has the model's: block if the log-odds
     are positive. A null url, or one without `://`, has an empty host and path, which no rule fits
-    and no token speaks against, so they are allowed. Repeated rows are kept; an empty table gives no rows; other columns are ignored.
+    and no token speaks against, so they are allowed; so is every row without a rule if none teaches
+    `block`. Repeated rows are kept; an empty table gives no rows; other columns are ignored.
     """
-    host, path = host_and_path(F.col(url_col).cast("string"))
-    urls = pages.select(id_col, host.alias("host"), path.alias("path"))
-    known = materialize(scores(materialize(urls.select("host", "path").distinct(), "url-distinct")), "url-scores")
+    urls = _urls(pages, url_col, F.col(f"`{id_col}`").alias("id"))
+    known = materialize(scores(materialize(urls.select("host", "path").distinct(), "url-distinct"), rules), "url-scores")
     name, verdict = rule_and_verdict(F.col("host"), F.col("path"), rules)
     odds = F.coalesce("odds", F.lit(0.0))
     said = F.coalesce(verdict, F.when(odds > 0, "block").otherwise("allow"))
-    return urls.join(known, ["host", "path"], "left").select(id_col, "host", "path", name.alias("rule"), said.alias("verdict"), odds.alias("block_odds"))
+    return urls.join(known, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", name.alias("rule"), said.alias("verdict"), odds.alias("block_odds"))
+
+
+def agreement(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
+    """(label, n, agreed): how many distinct urls that a rule decides the model judges alike if they teach nothing.
+
+    One fold in FOLDS, by a hash of host and path, is held out.
+    """
+    urls = materialize(_urls(pages, url_col).distinct(), "url-distinct")
+    fold = F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)) == HELD_OUT
+    _, verdict = rule_and_verdict(F.col("host"), F.col("path"), rules)
+    known = scores(urls, rules, ~fold)
+    held = urls.where(fold & verdict.isNotNull()).select("host", "path", verdict.alias("label")).join(known, ["host", "path"], "left")
+    alike = (F.coalesce("odds", F.lit(0.0)) > 0) == (F.col("label") == "block")
+    return held.groupBy("label").agg(F.count("*").alias("n"), F.count_if(alike).alias("agreed"))
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
