@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from treelace.llm import bpe, components, decontam, embdedup, langid, quality, sharding, simhash, suffix, urlfilter, warc
@@ -242,6 +243,31 @@ def test_no_warc_records(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("split", ["128m", "900"])
+def test_op5_rows_equal_brute_force(spark, tmp_path, split):
+    """Repeated and null page ids, equal payloads under one id, embedded records, columns with the names of the records' own."""
+    a, b, inner = "a" * 150, "é" * 90, "x\r\n\r\nWARC/1.1\r\nContent-Length: 120\r\n\r\n" + "i" * 120 + "\r\n\r\ny"
+    rows = [(5, a), (5, "short text"), (6, a), (7, a), (7, a), (3, inner), (2, inner), (9, b), (8, b), (8, b), (4, "tiny"), (1, "tiny"), (10, None), (11, ""), (5, b), (12, "WARC/1.1"), (13, "q" * 5000)]
+    spark.createDataFrame([(k, f"http://h/{k}", t, "clash", 1) for k, t in rows], "page_id long, url string, html string, digest string, n int").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = sorted(map(str, warc.op5_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    least = {}
+    for k, t in rows:
+        if len((t or "").encode()) >= 100:
+            least[t] = min(k, least.get(t, k))
+    want = []
+    for k, t in rows:
+        raw, first = (t or "").encode(), least.get(t, k)
+        want.append(str(Row(page_id=k, payload_bytes=len(raw), payload_digest=hashlib.sha256(raw).hexdigest(), record_type="response" if first == k else "revisit", refers_to=None if first == k else first)))
+    assert got == sorted(want)
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert warc.op5_warc(spark, f"{tmp_path}/none").count() == 0
+
+
 # ---- 6
 
 
