@@ -328,6 +328,17 @@ def test_proximity():
     assert shard.proximity(ids, 4) == [(0, 3), (13, 15)] and shard.proximity(ids, 3) == [(13, 15)] and shard.proximity([ids[0]] * 2, 9) == []
 
 
+def test_a_stored_index_answers_phrases_and_proximity(spark):
+    texts = [(1, "a x b c"), (2, "C b q q q q A"), (None, "a b"), (4, "c a b"), (4, "c a b"), (5, None), (6, "")]
+    index = decontam.build_index(spark.createDataFrame(texts, "doc_id long, text string").repartition(2))
+    items = spark.createDataFrame([("i", "A b C"), ("j", "a a"), ("k", None), (None, "a"), ("l", "!")], "item_id string, text string")
+    near = lambda slop: sorted(str(tuple(r)) for r in decontam.proximity_matches(index, items, slop).collect())
+    assert near(3) == ["(4, 'i', 0, 3)"] * 2 and near(4) == ["(1, 'i', 0, 4)", *near(3)] and "(2, 'i', 0, 7)" in near(7)
+    assert [tuple(r) for r in decontam.phrase_matches(index, spark.createDataFrame([(7, "a b")], "item_id long, text string")).where("size(spans) > 0").select("doc_id", "n_words").orderBy("doc_id").collect()] == [(None, 2), (4, 3), (4, 3)]
+    empty = decontam.build_index(spark.createDataFrame([], "doc_id long, text string"))
+    assert decontam.proximity_matches(empty, items, 3).count() == 0
+
+
 # ---- 7
 
 

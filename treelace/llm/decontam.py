@@ -1,19 +1,22 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document: every block of documents has a shard that stores, for each
-term of the benchmark, the sorted list of the positions it takes in the block. A phrase is found by
-starting from the list of its rarest term in that shard, shifting it by the term's offset in the
-phrase, and intersecting with the shifted lists of the next rarest terms until all are used.
-Shards answer alone, so no posting is shuffled and no common word or passage makes a hot task.
+The index is a table, partitioned by document: a row is the shard of a block of documents, with the
+ascending positions of every term that stands in the block. A phrase is found by starting from the
+list of its rarest term in that shard, shifting it by the term's offset in the phrase, and
+intersecting with the shifted lists of the next rarest terms until all are used; proximity matches
+start from the rarest term too. Shards answer alone, so no posting is shuffled and no common word
+or passage makes a hot task, and an index that is stored answers any number of benchmarks.
 
 The benchmark is handed out in blocks of at most MAX_ITEM_BYTES of text. A task takes all blocks in
-turn over each batch of documents and holds one of them at a time, so a document's matches are
-together without a key, and memory is bounded whatever the benchmark's size.
+turn over each shard and holds one of them at a time, so a document's matches are together without
+a key, and memory is bounded whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from itertools import repeat
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelace.llm.common import blocks, read_tables, ship, task, utf8
+from treelace.llm.common import blocks, materialize, read_tables, ship, task, utf8
 
 WINDOW = 13
 #: A document is contaminated if at least 1 in RATIO of its words is hit.
@@ -157,20 +160,50 @@ class Benchmark:
                 by_size.setdefault(n, {}).setdefault(ids[i : i + n], set()).add(item_id)
         self.phrases = [(n, np.array(list(x), np.int64).reshape(-1, n), [sorted(v, key=str) for v in x.values()]) for n, x in sorted(by_size.items())]
 
-    def tokens(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int64, len(found))
-
 
 def index_block(texts: Sequence[bytes], bench: Benchmark) -> tuple[Shard, np.ndarray]:
-    """The shard of some documents, and how many words each has."""
-    split = [words(t) for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    tokens = np.concatenate([bench.tokens(x) for x in split]) if split else np.zeros(0, np.int64)
-    return Shard(tokens, np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64), len(bench.vocabulary)), n
-
-
-def _spans(bench: Benchmark, texts: list[bytes]):
-    shard, n_words = index_block(texts, bench)
+    """The shard of some documents for the benchmark's terms, and how many words each has."""
+    return Postings.of(texts).shard(bench)
+
+
+class Postings:
+    """All terms of a block of documents, their counts, and their positions term by term."""
+
+    def __init__(self, n_words: np.ndarray, terms: list[bytes], counts: np.ndarray, positions: np.ndarray):
+        self.n_words, self.terms, self.counts, self.positions = n_words, terms, counts, positions
+
+    @classmethod
+    def of(cls, texts: Sequence[bytes]) -> Postings:
+        split = [words(t) for t in texts]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        ids: dict[bytes, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        at = np.fromiter((ids[w] for ws in split for w in ws), np.int64, int(n.sum()))
+        return cls(n, list(ids), np.bincount(at, minlength=len(ids)), np.argsort(at, kind="stable"))
+
+    def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
+        """The four parts as compressed bytes; positions as the steps from one to the next."""
+        steps = np.diff(self.positions, prepend=0).astype("<i8") if len(self.positions) >= 1 << 31 else np.diff(self.positions, prepend=0).astype("<i4")
+        parts = (self.n_words.astype("<i8").tobytes(), b" ".join(self.terms), self.counts.astype("<i8").tobytes(), steps.tobytes())
+        return tuple(zlib.compress(x, 1) for x in parts)
+
+    @classmethod
+    def unpacked(cls, n_words: bytes, terms: bytes, counts: bytes, steps: bytes) -> Postings:
+        n_words, terms, counts, steps = map(zlib.decompress, (n_words, terms, counts, steps))
+        n, c = np.frombuffer(n_words, "<i8"), np.frombuffer(counts, "<i8")
+        wide = "<i4" if len(steps) == 4 * int(c.sum()) else "<i8"
+        return cls(n, terms.split(), c, np.cumsum(np.frombuffer(steps, wide), dtype=np.int64))
+
+    def shard(self, bench: Benchmark) -> tuple[Shard, np.ndarray]:
+        """The lists of the benchmark's terms."""
+        of = np.fromiter(map(bench.vocabulary.get, self.terms, repeat(-1)), np.int64, len(self.terms))
+        tokens = np.full(len(self.positions), -1, np.int64)
+        tokens[self.positions] = np.repeat(of, self.counts)
+        return Shard(tokens, np.cumsum(self.n_words) - self.n_words, len(bench.vocabulary)), self.n_words
+
+
+def _spans(bench: Benchmark, postings: Postings):
+    shard, n_words = postings.shard(bench)
     docs: list[np.ndarray] = []
     starts: list[np.ndarray] = []
     ends: list[np.ndarray] = []
@@ -211,34 +244,95 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str):
     yield block
 
 
-def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans, item_ids) for every document row.
+def build_index(docs: DataFrame, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
+    """(ids, n_words, terms, counts, steps): a shard for each block of rows, written to the shared folder.
 
-    spans are the maximal ranges of word positions that windows of the benchmark cover, item_ids
-    the ids, as sorted strings, of the items whose windows occur. A window is `window` consecutive
-    words of an item; an item of fewer words, but not none, is one window. Null texts have no
-    words; items with a null id or text are left out; repeated rows stay repeated; an empty
-    benchmark matches nothing; an empty docs gives no rows. Other columns are ignored.
+    Null texts have no words; repeated rows and null ids are rows like others; an empty docs gives
+    an index without shards. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    src = docs.select(doc_id, F.col(doc_text).cast("string").alias("text"))
-    packed = _sent(spark, items, item_id, item_text)
+    src = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{doc_text}`").cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            raw, off = utf8(batch.column(1))
+            data = raw.tobytes()
+            for lo, hi in blocks(np.diff(off)):
+                parts = Postings.of([data[off[i] : off[i + 1]] for i in range(lo, hi)]).packed()
+                ids = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x], pa.binary()) for x in parts)], names=["ids", "n_words", "terms", "counts", "steps"])
+
+    return materialize(src.mapInArrow(task("decontam", run), f"ids array<{kind}>, n_words binary, terms binary, counts binary, steps binary"), "postings")
+
+
+def _shards(batches):
+    """(ids, postings) of the rows of an index."""
+    for batch in batches:
+        parts = [batch.column(k).to_pylist() for k in range(1, 5)]
+        for k, part in enumerate(zip(*parts)):
+            yield batch.column(0).slice(k, 1).flatten(), Postings.unpacked(*part)
+
+
+def _id_kind(index: DataFrame) -> str:
+    return index.schema["ids"].dataType.elementType.simpleString()
+
+
+def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", into: str = "doc_id") -> DataFrame:
+    """(into, n_words, spans, item_ids) for every document of an index; see find_matches()."""
+    packed = _sent(index.sparkSession, items, item_id, item_text)
 
     def run(batches):
-        for batch, n_words, spans, found in _searched(batches, 1, packed, window):
+        held = list(_benchmarks(packed, window)) if len(packed) == 1 else None
+        for ids, postings in _shards(batches):
+            n_words, spans, found = _searched(postings, held or _benchmarks(packed, window))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    ids,
                     pa.array(n_words),
                     pa.array([[{"start": a, "end": b} for a, b in row] for row in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array([sorted(x) for x in found], pa.list_(pa.string())),
                 ],
-                names=[doc_id, "n_words", "spans", "item_ids"],
+                names=[into, "n_words", "spans", "item_ids"],
             )
 
-    return src.mapInArrow(task("decontam", run), f"{doc_id} {kind}, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>")
+    return index.mapInArrow(task("decontam", run), f"`{into}` {_id_kind(index)}, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>")
+
+
+def proximity_matches(index: DataFrame, items: DataFrame, slop: int, item_id: str = "item_id", item_text: str = "text", into: str = "doc_id") -> DataFrame:
+    """(into, item_id, start, end): every shortest span of at most slop words of a document that holds all words of an item, in any order.
+
+    A word that an item has k times must stand k times; an item without words, or with a null id or
+    text, matches nothing. start and end are word positions in the document, end exclusive.
+    """
+    packed = _sent(index.sparkSession, items, item_id, item_text)
+
+    def run(batches):
+        for ids, postings in _shards(batches):
+            rows: list[tuple[int, str, int, int]] = []
+            for block in packed:
+                bench = Benchmark(block.value, 1)
+                shard, _ = postings.shard(bench)
+                for item, text in block.value:
+                    for a, b in shard.proximity([bench.vocabulary[w] for w in words(text)], slop):
+                        doc = int(shard.doc_of(np.array([a]))[0])
+                        rows.append((doc, str(item), a - int(shard.doc_starts[doc]), b + 1 - int(shard.doc_starts[doc])))
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=[into, "item_id", "start", "end"])
+
+    return index.mapInArrow(task("decontam", run), f"`{into}` {_id_kind(index)}, item_id string, start long, end long")
+
+
+def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, n_words, spans, item_ids) for every document row, by an index of docs.
+
+    spans are the maximal ranges of word positions that windows of the benchmark cover, item_ids
+    the ids, as sorted strings, of the items whose windows occur. A window is `window` consecutive
+    words of an item; an item of fewer words, but not none, is one window. Null texts have no
+    words; items with a null id or text are left out; repeated rows stay repeated; an empty
+    benchmark matches nothing; an empty docs gives no rows. Other columns are ignored.
+    """
+    return phrase_matches(build_index(docs, doc_id, doc_text), items, window, item_id, item_text, doc_id)
 
 
 def _sent(spark, items: DataFrame, item_id: str, item_text: str) -> list:
@@ -255,27 +349,22 @@ def _benchmarks(packed: list, window: int):
         yield bench
 
 
-def _searched(batches, at: int, packed: list, window: int):
-    """(batch, words, merged spans, item ids as strings) of all rows, over all blocks of the benchmark; column `at` has the texts."""
-    one = list(_benchmarks(packed, window)) if len(packed) == 1 else None
-    for batch in batches:
-        raw, off = utf8(batch.column(at))
-        data = raw.tobytes()
-        n_words = np.zeros(batch.num_rows, np.int64)
-        spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-        ids: list[set[str]] = [set() for _ in range(batch.num_rows)]
-        for bench in one or _benchmarks(packed, window):
-            for lo, hi in blocks(np.diff(off)):
-                n_words[lo:hi], d, s, e, found = _spans(bench, [data[off[i] : off[i + 1]] for i in range(lo, hi)])
-                order = np.argsort(d, kind="stable")
-                cut = np.searchsorted(d[order], np.arange(hi - lo + 1))
-                for i in np.flatnonzero(np.diff(cut)).tolist():
-                    which = order[cut[i] : cut[i + 1]]
-                    old = np.array(spans[lo + i], np.int64).reshape(-1, 2)
-                    spans[lo + i] = merged(np.concatenate([old[:, 0], s[which]]), np.concatenate([old[:, 1], e[which]]))
-                for i, x in found.items():
-                    ids[lo + i].update(map(str, x))
-        yield batch, n_words, spans, ids
+def _searched(postings: Postings, benchmarks) -> tuple[np.ndarray, list, list]:
+    """(words, merged spans, item ids as strings) of a shard's documents, over all blocks of the benchmark."""
+    n = len(postings.n_words)
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    ids: list[set[str]] = [set() for _ in range(n)]
+    for bench in benchmarks:
+        _, d, s, e, found = _spans(bench, postings)
+        order = np.argsort(d, kind="stable")
+        cut = np.searchsorted(d[order], np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            which = order[cut[i] : cut[i + 1]]
+            old = np.array(spans[i], np.int64).reshape(-1, 2)
+            spans[i] = merged(np.concatenate([old[:, 0], s[which]]), np.concatenate([old[:, 1], e[which]]))
+        for i, x in found.items():
+            ids[i].update(map(str, x))
+    return postings.n_words, spans, ids
 
 
 def contamination(matches: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -290,16 +379,28 @@ def contamination(matches: DataFrame, ratio: int = RATIO) -> DataFrame:
 
 
 def filter_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, ratio: int = RATIO, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that aren't contaminated."""
+    """The rows of docs, with all their columns, that aren't contaminated.
+
+    Rows are judged where they are: a block's shard is searched as it is made and then dropped, so
+    no key is needed to find its rows again. Nulls and empties are as in find_matches().
+    """
     spark = docs.sparkSession
     ship(spark)
     packed = _sent(spark, items, item_id, item_text)
     at = docs.columns.index(doc_text)
 
     def run(batches):
-        for batch, n_words, spans, _ in _searched(batches, at, packed, window):
-            hit = [sum(b - a for a, b in row) for row in spans]
-            yield batch.filter(pa.array([not (h and ratio * h >= n) for h, n in zip(hit, n_words.tolist())], pa.bool_()))
+        held = list(_benchmarks(packed, window)) if len(packed) == 1 else None
+        for batch in batches:
+            raw, off = utf8(batch.column(at))
+            data = raw.tobytes()
+            keep: list[bool] = []
+            for lo, hi in blocks(np.diff(off)):
+                postings = Postings.of([data[off[i] : off[i + 1]] for i in range(lo, hi)])
+                n_words, spans, _ = _searched(postings, held or _benchmarks(packed, window))
+                hit = [sum(b - a for a, b in row) for row in spans]
+                keep += [not (h and ratio * h >= n) for h, n in zip(hit, n_words.tolist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(task("decontam", run), docs.schema)
 

@@ -202,4 +202,4 @@ def op8_quality(spark, sf_dir: str) -> DataFrame:
     if n > MAX_TRAIN_DOCS:  # choose the sample before the texts are joined
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * MAX_TRAIN_DOCS / n))
     model = train(docs.select("doc_id", "text").join(known, "doc_id"))
-    return score(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
