@@ -77,3 +77,7 @@ class CannotAccess(TreeError):
 
 class Conversion(TreeError):
     """A value could not be converted."""
+
+
+class CommitConflict(EngineError):
+    """Another handle or process has committed to the table since the transaction began."""
