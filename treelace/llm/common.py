@@ -165,8 +165,8 @@ def free_name(name: str, taken) -> str:
     return name
 
 
-#: Groups of ids by which the large side of a join is narrowed before it is shuffled.
-BUCKETS = 1 << 18
+#: Groups of ids by which the large side of a join is narrowed before it is shuffled: what is broadcast has at most so many rows.
+BUCKETS = 1 << 20
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -174,19 +174,19 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
     The others are told by a table of at most BUCKETS hash values, whatever the data.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
-    near = ids.select(bucket.alias("_near")).distinct()
-    tagged = rows.withColumn("_near", bucket)
-    clear = tagged.join(F.broadcast(near), "_near", "left_anti").select(*rows.columns)
-    asked = tagged.join(F.broadcast(near), "_near", "left_semi").join(ids.select(key), key, "left_anti").select(*rows.columns)
+    bucket, at = F.pmod(F.xxhash64(key), F.lit(BUCKETS)), free_name("near", rows.columns)
+    near = ids.select(bucket.alias(at)).distinct()
+    tagged = rows.withColumn(at, bucket)
+    clear = tagged.join(F.broadcast(near), at, "left_anti").select(*rows.columns)
+    asked = tagged.join(F.broadcast(near), at, "left_semi").join(ids.select(key), key, "left_anti").select(*rows.columns)
     return clear.unionByName(asked)
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in ids, narrowed in the same way before the shuffle."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
-    near = ids.select(bucket.alias("_near")).distinct()
-    asked = rows.withColumn("_near", bucket).join(F.broadcast(near), "_near", "left_semi")
+    bucket, at = F.pmod(F.xxhash64(key), F.lit(BUCKETS)), free_name("near", rows.columns)
+    near = ids.select(bucket.alias(at)).distinct()
+    asked = rows.withColumn(at, bucket).join(F.broadcast(near), at, "left_semi")
     return asked.join(ids.select(key), key, "left_semi").select(*rows.columns)
 
 

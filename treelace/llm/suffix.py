@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treelace.llm.common import free_name, free_shuffles, materialize, owned, read_tables, release, ship, task, utf8
+from treelace.llm.common import BUCKETS, free_name, free_shuffles, materialize, owned, read_tables, release, ship, task, utf8
 
 SPAN = 100
 #: Bytes of an anchor; a window has SPAN - GRAM + 1 of them.
@@ -50,8 +50,6 @@ FOLD = 1 << 19
 HOT_CLASSES = 5_000
 HOT_IN_FOLD = 8
 MAX_HOT = 100_000
-#: Groups of ids that a join's other side is narrowed by before it is shuffled.
-BUCKETS = 1 << 18
 _POS = np.uint64((1 << 30) - 1)
 _BASE = 0xD6E8FEB86659FD93
 _INV = pow(_BASE, -1, 1 << 64)
