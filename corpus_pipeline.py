@@ -73,7 +73,7 @@ STAGES = [
     ("bpe_encoding", encode_tokens),
 ]
 
-#: Only the third and fourth stage could be said in SQL; tests/llm/test_pipeline.py holds run() against a plain version of all five.
+#: Only the third and fourth stage could be said in SQL; tests/llm/test_pipeline.py holds run() against plain versions of its stages.
 ORACLE_SQL = None
 
 
