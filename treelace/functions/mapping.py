@@ -374,6 +374,8 @@ class Rule:
     name: str | None = None
     store: Callable[[Column], Column] | None = None
     skip_if: Callable[[Column], Column] | None = None
+    #: Fields of a struct column that stand beside the others instead of below it.
+    flatten: tuple[str, ...] = ()
 
 
 def document_column(rules: list[Rule], rename_all: str | None = None) -> Column:
@@ -381,6 +383,11 @@ def document_column(rules: list[Rule], rename_all: str | None = None) -> Column:
     fields = []
     for r in rules:
         c = F.col(r.column)
+        if r.flatten:
+            if r.name or r.store or r.skip_if:
+                raise Conversion("flatten can't be combined with other rules")
+            fields += [c[f].alias(recase(f, rename_all)) for f in r.flatten]
+            continue
         v = r.store(c) if r.store else c
         fields.append((F.when(~r.skip_if(c), v) if r.skip_if else v).alias(r.name or recase(r.column, rename_all)))
     return F.struct(*fields)
@@ -391,6 +398,19 @@ def present_column(rules: list[Rule], rename_all: str | None = None) -> Column:
     return F.array_compact(F.array(*[F.when(~r.skip_if(F.col(r.column)) if r.skip_if else F.lit(True), F.lit(r.name or recase(r.column, rename_all))) for r in rules]))
 
 
+def unflattened(doc: Column, names: tuple[str, ...], rename_all: str | None = None) -> Column:
+    """The struct whose fields were flattened into doc."""
+    return F.struct(*[doc[recase(n, rename_all)].alias(n) for n in names])
+
+
+def first_fitting(payloads: dict[str, Column | None]) -> Column:
+    """Name of an untagged union's variant: the first whose payload is there; a unit (None) always fits."""
+    out = F.raise_error(F.lit("no variant fits")).cast("string")
+    for name, p in reversed(payloads.items()):
+        out = F.lit(name) if p is None else F.when(p.isNotNull(), F.lit(name)).otherwise(out)
+    return out
+
+
 def load_column(doc: Column, present: Column, names: list[str], default: Column | None = None) -> Column:
     """The first of the names that is present, though its value be null; the default where none is."""
     out = default if default is not None else F.lit(None)
@@ -400,7 +420,7 @@ def load_column(doc: Column, present: Column, names: list[str], default: Column
 
 
 def union_column(tag: Column, payloads: dict[str, Column | None], encoding: str, tag_name: str = "kind", content: str = "data") -> Column:
-    """A union as a struct: external (a field for each variant), adjacent (tag, content) or internal (tag, payload fields).
+    """A union as a struct: external (a field for each variant), adjacent (tag, content), internal (tag, payload fields) or untagged (payloads).
 
     payloads has each variant's struct or scalar, None for a unit.
     """
@@ -409,7 +429,11 @@ def union_column(tag: Column, payloads: dict[str, Column | None], encoding: str,
     filled = {n: p for n, p in payloads.items() if p is not None}
     if encoding == "adjacent":
         return F.struct(tag.alias(tag_name), F.struct(*[F.when(tag == n, p).alias(n) for n, p in filled.items()]).alias(content))
-    return F.struct(tag.alias(tag_name), *[F.when(tag == n, p).alias(n) for n, p in filled.items()])
+    if encoding == "internal":
+        return F.struct(tag.alias(tag_name), *[F.when(tag == n, p).alias(n) for n, p in filled.items()])
+    if encoding == "untagged":  # payloads alone; first_fitting() names the variant
+        return F.struct(*[F.when(tag == n, p).alias(n) for n, p in filled.items()])
+    raise Conversion(f"no encoding {encoding!r}")
 
 
 def known_tag(tag: Column, names: list[str], other: str | None = None, expecting: str | None = None) -> Column:

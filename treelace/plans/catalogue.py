@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treelace.functions import export, mapping
 from treelace.functions.mapping import Rule
-from treelace.functions.scalars import scalar
+from treelace.functions.scalars import label_of, scalar
 from treelace.functions.value import of
 from treelace.operators import collections as C
 from treelace.operators import nodes as N
 from treelace.operators.entity import Entities
 from treelace.operators.index import IndexColumn, IndexDef, query, ranked, violations
 from treelace.sources import tables as S
+from treelace.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,10 +179,11 @@ def unique_nulls_collide(spark, sf):
     return violations(_labelled(spark, sf), d).select(F.col("c0").alias("quality"), "n")
 
 
-@entry("find_scoped", "SELECT l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_orderkey = 33 AND l_returnflag = 'N'")
+@entry("find_scoped", "WITH o AS (SELECT l_orderkey AS k FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3 ORDER BY k LIMIT 1), f AS (SELECT max(l_returnflag) AS flag FROM lineitem, o WHERE l_orderkey = k) SELECT l_linenumber, l_quantity, l_extendedprice FROM lineitem, o, f WHERE l_orderkey = k AND l_returnflag = flag")
 def find_scoped(spark, sf):
     d = IndexDef("by_flag", "orders/*/lines/*", (IndexColumn.asc("l_returnflag"), IndexColumn.desc("l_quantity")))
-    q = query(S.orders(spark, sf).children("lines/*"), d).prefixed(["N"]).under("orders/33")
+    k, flag = S.lines(spark, sf).where(F.size("lines") >= 3).agg(F.min(F.struct("l_orderkey", F.array_max("lines.l_returnflag")))).first()[0]
+    q = query(S.orders(spark, sf).children("lines/*"), d).prefixed([flag]).under(f"orders/{k}")
     return q.run().select("doc.l_linenumber", "doc.l_quantity", "doc.l_extendedprice")
 
 
@@ -223,12 +225,98 @@ def reindex_after_remove(spark, sf):
     return _found(query(Entities(e.df.where(e.column("o_orderstatus") != "F"), e.pattern), BY_STATUS_TOTAL))
 
 
-@entry("backfill_after_write", "SELECT row_number() OVER (ORDER BY p, k)::BIGINT AS rank, k FROM (SELECT 'nation/' || n_nationkey AS k, n_name AS p FROM nation UNION ALL SELECT 'nation/99', 'ATLANTIS')")
+def _nation_table(spark, sf):
+    """A table of the store with all nations, after one commit."""
+    from treelace.sources.store import Database
+
+    t = Database.in_memory(spark).open_table("nation")
+    with t.write() as w:
+        w.store_frame(S.table(spark, sf, "nation"), "nation/*", "n_nationkey")
+    return t
+
+
+def _names_in_order(txn, index: str) -> DataFrame:
+    """(rank, path) of an index query over the store; the sort is written, and a row's place counted from it."""
+    at = F.monotonically_increasing_id()
+    rows = written(txn.query(index).run().select("path", at.alias("at")))
+    return rows.select(F.row_number().over(Window.orderBy("at")).cast("long").alias("rank"), "path")  # a row for each nation
+
+
+BY_NAME = IndexDef("by_name", "nation/*", (IndexColumn.asc("n_name"),), True)
+_WRITTEN = "SELECT 'nation/' || n_nationkey AS path, CASE n_nationkey WHEN 3 THEN 'ZZZ' ELSE n_name END AS name FROM nation WHERE n_nationkey <> 5 UNION ALL SELECT 'nation/99', 'ATLANTIS'"
+
+
+def _change(w) -> None:
+    w.put("nation/3/n_name", "ZZZ")
+    w.remove("nation/5")
+    w.store_value("nation/99", of({"n_name": "ATLANTIS"}))
+
+
+@entry("backfill_after_write", f"SELECT row_number() OVER (ORDER BY name, path)::BIGINT AS rank, path FROM ({_WRITTEN})")
 def backfill_after_write(spark, sf):
-    df = S.table(spark, sf, "nation")
-    new = spark.createDataFrame([(99, "ATLANTIS", 0)], df.schema)
-    e = Entities.of(df.unionByName(new), "nation/*", "n_nationkey")
-    return ranked(query(e, IndexDef("by_name", "nation/*", (IndexColumn.asc("n_name"),))), F.col("path").alias("k"))
+    """An index that is created after the writes covers them."""
+    t = _nation_table(spark, sf)
+    with t.write() as w:
+        _change(w)
+    t.create_index(BY_NAME)
+    return _names_in_order(t.read(), "by_name")
+
+
+@entry("index_follows_writes", f"SELECT row_number() OVER (ORDER BY name, path)::BIGINT AS rank, path FROM ({_WRITTEN})")
+def index_follows_writes(spark, sf):
+    """An index that is there before the writes follows an update, a removal and an insertion."""
+    t = _nation_table(spark, sf)
+    t.create_index(BY_NAME)
+    with t.write() as w:
+        _change(w)
+    return _names_in_order(t.read(), "by_name")
+
+
+@entry("index_before_writes", "SELECT row_number() OVER (ORDER BY n_name, 'nation/' || n_nationkey)::BIGINT AS rank, 'nation/' || n_nationkey AS path FROM nation")
+def index_before_writes(spark, sf):
+    """A snapshot's index query, and an aborted transaction, show nothing of later writes."""
+    t = _nation_table(spark, sf)
+    t.ensure_index(BY_NAME)
+    before, w = t.read(), t.write()
+    w.remove("nation")
+    w.abort()
+    with t.write() as w:
+        _change(w)
+    return _names_in_order(before, "by_name")
+
+
+@entry("index_documents", "SELECT 'nation/' || n_nationkey AS path, n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+def index_documents(spark, sf):
+    """Typed documents of an index query over the store."""
+    t = _nation_table(spark, sf)
+    t.create_index(IndexDef("by_region", "nation/*", (IndexColumn.asc("n_regionkey"), IndexColumn.desc("n_name"))))
+    kind = S.table(spark, sf, "nation").select("n_name", "n_regionkey").schema
+    return t.read().query("by_region").prefixed([scalar(2, label_of(kind["n_regionkey"].dataType))]).docs(kind).select("path", "doc.*")
+
+
+@entry("staged_writes", "SELECT 'nation/' || n_nationkey || '/note/text' AS path, 'n' || n_nationkey AS value FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'nation/3/note/text', 'last' WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3)")
+def staged_writes(spark, sf):
+    """Many puts of a transaction in one plan; the last one of a path stays."""
+    t = _nation_table(spark, sf)
+    keys = [r[0] for r in S.table(spark, sf, "nation").select("n_nationkey").collect()]
+    with t.write() as w, w.staged() as s:
+        for k in keys:
+            s.put(f"nation/{k}/note/text", f"n{k}")
+        if 3 in keys:
+            s.put("nation/3/note/text", "last")
+    return N.at_pattern(t.read().nodes(), "nation/*/note/text").select("path", F.col("v_str").alias("value"))
+
+
+@entry("rooted_writes", "SELECT 'nation/7/' || x AS path, k AS kind FROM (VALUES ('flags', 'list'), ('flags[0]', 'leaf'), ('meta', 'object'), ('n_name', 'leaf'), ('n_nationkey', 'leaf'), ('n_regionkey', 'leaf')) t(x, k)")
+def rooted_writes(spark, sf):
+    """Containers and leaves that a rooted write view makes, seen by a rooted read view."""
+    t = _nation_table(spark, sf)
+    with t.write() as w:
+        at = w.rooted("nation/7")
+        at.ensure_container("flags", "list")
+        at.ensure_container("meta")
+        at.put("flags[0]", True)
+    return t.read().rooted("nation/7").nodes().where("size(segs) > 2").select("path", "kind")
 
 
 # ---- lists
@@ -413,26 +501,36 @@ def remove_subtree(spark, sf):
     return N.remove(_customer_nodes(spark, sf), "customer/42").agg(F.count("*").alias("nodes"))
 
 
-@entry("remove_list_item", f"WITH l AS ({_RANKED_LINES}), c AS (SELECT * FROM l WHERE l_orderkey = 33) SELECT 'o/33/xs[' || (pos - 1) || ']' AS path, l_quantity AS v FROM c WHERE pos > 0")
-def remove_list_item(spark, sf):
-    return N.at_pattern(N.remove(_one_list(spark, sf), "o/33/xs[0]"), "o/33/xs/*").select("path", F.col("v_float").alias("v"))
+_O = f"WITH l AS ({_RANKED_LINES}), o AS (SELECT min(l_orderkey) AS k FROM l WHERE n >= 3) "
 
 
-def _one_list(spark, sf) -> DataFrame:
-    q = S.quantities(spark, sf).where("k = 33")
-    return N.shred(q, F.struct("xs"), T.StructType([q.schema["xs"]]), F.array(F.lit("o"), F.col("k").cast("string")))
+def _all_lists(spark, sf) -> tuple[DataFrame, str]:
+    """Every order's list as nodes, and the path of one that has three items at least."""
+    q = S.quantities(spark, sf)
+    k = q.where(F.size("xs") >= 3).agg(F.min("k")).first()[0]
+    return N.shred(q, F.struct("xs"), T.StructType([q.schema["xs"]]), F.array(F.lit("o"), F.col("k").cast("string"))), f"o/{k}/xs"
 
 
-@entry("node_list_swap", f"WITH l AS ({_RANKED_LINES}) SELECT 'o/33/xs[' || (CASE pos WHEN 0 THEN n - 1 WHEN n - 1 THEN 0 ELSE pos END) || ']' AS path, l_quantity AS v FROM l WHERE l_orderkey = 33")
+def _list_items(nodes: DataFrame) -> DataFrame:
+    return N.at_pattern(nodes, "o/*/xs/*").select("path", F.col("v_float").alias("v"))
+
+
+@entry("remove_list_item", _O + "SELECT 'o/' || l_orderkey || '/xs[' || (CASE WHEN l_orderkey = k THEN pos - 1 ELSE pos END) || ']' AS path, l_quantity AS v FROM l, o WHERE l_orderkey <> k OR pos > 0")
+def remove_list_item(spark, sf):
+    n, path = _all_lists(spark, sf)
+    return _list_items(N.remove(n, path + "[0]"))
+
+
+@entry("node_list_swap", _O + "SELECT 'o/' || l_orderkey || '/xs[' || (CASE WHEN l_orderkey <> k THEN pos WHEN pos = 0 THEN n - 1 WHEN pos = n - 1 THEN 0 ELSE pos END) || ']' AS path, l_quantity AS v FROM l, o")
 def node_list_swap(spark, sf):
-    n = _one_list(spark, sf)
-    n = N.list_swap(n, "o/33/xs", 0, N.list_len(n, "o/33/xs") - 1)
-    return N.at_pattern(n, "o/33/xs/*").select("path", F.col("v_float").alias("v"))
+    n, path = _all_lists(spark, sf)
+    return _list_items(N.list_swap(n, path, 0, N.list_len(n, path) - 1))
 
 
-@entry("node_list_move", f"WITH l AS ({_RANKED_LINES}) SELECT 'o/33/xs[' || (CASE WHEN pos = 0 THEN n - 1 ELSE pos - 1 END) || ']' AS path, l_quantity AS v FROM l WHERE l_orderkey = 33")
+@entry("node_list_move", _O + "SELECT 'o/' || l_orderkey || '/xs[' || (CASE WHEN l_orderkey <> k THEN pos WHEN pos = 0 THEN n - 1 ELSE pos - 1 END) || ']' AS path, l_quantity AS v FROM l, o")
 def node_list_move(spark, sf):
-    return N.at_pattern(N.list_move(_one_list(spark, sf), "o/33/xs", 0, 999), "o/33/xs/*").select("path", F.col("v_float").alias("v"))
+    n, path = _all_lists(spark, sf)
+    return _list_items(N.list_move(n, path, 0, 999))
 
 
 @entry("clear_children", "SELECT 1::BIGINT + 4 * count(*) FILTER (c_custkey <> 42) AS nodes FROM customer")
@@ -440,13 +538,14 @@ def clear_children(spark, sf):
     return N.clear_children(_customer_nodes(spark, sf), "customer/42").agg(F.count("*").alias("nodes"))
 
 
-@entry("own_writes", "SELECT (SELECT n_name FROM nation WHERE n_nationkey = 3) AS before, 'X' AS after")
+@entry("own_writes", f"SELECT path || '/n_name' AS path, name AS value FROM ({_WRITTEN})")
 def own_writes(spark, sf):
-    d = S.table(spark, sf, "nation")
-    old = N.shred(d, F.struct(*d.columns), d.schema, F.array(F.lit("nation"), F.col("n_nationkey").cast("string")))
-    new = N.store_many(old, [("nation/3/n_name", "X")])
-    pick = lambda n, name: n.where("path = 'nation/3/n_name'").select(F.col("v_str").alias(name))
-    return pick(old, "before").crossJoin(pick(new, "after"))  # one row by one row
+    """What a write transaction reads before it commits."""
+    w = _nation_table(spark, sf).write()
+    _change(w)
+    out = written(N.at_pattern(w.nodes(), "nation/*/n_name").select("path", F.col("v_str").alias("value")))
+    w.abort()
+    return out
 
 
 @entry("snapshot_read", "SELECT count(*)::BIGINT AS old_nodes, (count(*) - 4)::BIGINT AS new_nodes FROM (SELECT unnest(range(4)) FROM nation)")
@@ -571,11 +670,13 @@ def map_skip_if(spark, sf):
     return d.select("c_custkey", F.array_contains("p", "balance").alias("present"), "d.balance")
 
 
-@entry("map_flatten", "SELECT c_custkey, c_name, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@entry("map_flatten", "SELECT c_custkey, c_name AS \"cName\", n_name AS \"nName\", n_regionkey AS \"nRegionkey\", n_name AS back FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def map_flatten(spark, sf):
     c, n = S.table(spark, sf, "customer"), S.table(spark, sf, "nation")
-    d = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", F.struct("c_name", F.struct("n_name", "n_regionkey").alias("meta")).alias("doc"))
-    return d.select("c_custkey", "doc.c_name", "doc.meta.*")
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "c_name", F.struct("n_name", "n_regionkey").alias("meta"))
+    names = ("n_name", "n_regionkey")
+    d = rows.select("c_custkey", mapping.document_column([Rule("c_name"), Rule("meta", flatten=names)], "camelCase").alias("doc"))
+    return d.select("c_custkey", "doc.*", mapping.unflattened(F.col("doc"), names, "camelCase")["n_name"].alias("back"))
 
 
 @entry("map_convert", "SELECT p_partkey, (p_size * 10)::BIGINT AS tenths, p_size::DOUBLE AS back FROM part")
@@ -608,7 +709,7 @@ def enum_internal(spark, sf):
 @entry("enum_untagged", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'Amount' WHEN user_id % 2 = 0 THEN 'User' ELSE 'Empty' END AS variant FROM events")
 def enum_untagged(spark, sf):
     e = S.table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("amount"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("user"))
-    return e.select("event_id", F.when(F.col("amount").isNotNull(), "Amount").when(F.col("user").isNotNull(), "User").otherwise("Empty").alias("variant"))
+    return e.select("event_id", mapping.first_fitting({"Amount": F.col("amount"), "User": F.col("user"), "Empty": None}).alias("variant"))
 
 
 @entry("enum_other", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'unknown' END AS kind FROM events")
