@@ -204,7 +204,9 @@ def scalar_column(value: Column, kind: T.DataType) -> Column:
         part = F.when(micros == "000000", "").when(micros.endswith("000"), F.concat(F.lit("."), F.substring(micros, 1, 3))).otherwise(F.concat(F.lit("."), micros))
         return F.concat(F.lit('"'), F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit('Z"'))
     if isinstance(kind, T.DayTimeIntervalType):
-        return F.regexp_replace(F.extract(F.lit("SECOND"), value).cast("string"), r"\.?0+$", "")
+        part = lambda unit: F.extract(F.lit(unit), value).cast("long")
+        whole = (part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60).cast("decimal(18,0)")
+        return F.regexp_replace((whole + F.extract(F.lit("SECOND"), value)).cast("string"), r"\.?0+$", "")
     return value.cast("string")
 
 

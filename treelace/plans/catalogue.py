@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treelace.functions import export, mapping
-from treelace.functions.mapping import Rule
+from treelace.functions.errors import CommitConflict, IndexArity, IndexNotFound, SchemaMismatch, TreeError
+from treelace.functions.mapping import Rule, attr, document
 from treelace.functions.scalars import label_of, scalar
 from treelace.functions.value import of
 from treelace.operators import collections as C
@@ -319,6 +321,149 @@ def rooted_writes(spark, sf):
     return t.read().rooted("nation/7").nodes().where("size(segs) > 2").select("path", "kind")
 
 
+@entry("reopened_reads", "SELECT 'nation/' || n_nationkey || '/' || f AS path, kind, CASE f WHEN 'n_name' THEN n_name END AS text FROM nation, (VALUES ('n_name', 'leaf'), ('n_nationkey', 'leaf'), ('n_regionkey', 'leaf')) t(f, kind)")
+def reopened_reads(spark, sf):
+    """A database that another handle opens shows what was committed."""
+    from treelace.sources.store import Database
+
+    t = _nation_table(spark, sf)
+    again = Database.open(spark, t.db._files.root)
+    assert again.tables() == ["nation"]
+    return again.open_table("nation").read().nodes().where("size(segs) = 3").select("path", "kind", F.col("v_str").alias("text"))
+
+
+@entry("point_reads", "SELECT what, text FROM (SELECT 'name' AS what, n_name AS text FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'raw', n_name FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'kind', 'object' UNION ALL SELECT 'keys', 'n_name,n_nationkey,n_regionkey' UNION ALL SELECT 'by key', n_name FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'leaf', n_name FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'missing', 'none' UNION ALL SELECT 'root', 'null')")
+def point_reads(spark, sf):
+    """Reads of single nodes: by path, by stable key, through a lazy accessor, of what is not there."""
+    t = _nation_table(spark, sf)
+    r = t.read()
+    view = r.fetch("nation/7")
+    by_key = r.nodes().where(F.col("skey") == view.key()).select("path").first()[0]
+    rows = [
+        ("name", r.get("nation/7/n_name", "str")),
+        ("raw", r.get_scalar("nation/7/n_name").value),
+        ("kind", r.kind("nation/7")),
+        ("keys", ",".join(view.keys())),
+        ("by key", r.load_value(by_key).get("n_name").data.value),
+        ("leaf", view.field("n_name").get("str")),
+        ("missing", "none" if r.fetch("nation/7/nick").is_none() and not r.exists("nation/x") else "some"),
+        ("root", t.db.open_table("empty").read().export_to_json()),
+    ]
+    return N.local_frame(spark, rows, T.StructType([T.StructField("what", T.StringType()), T.StructField("text", T.StringType())]))
+
+
+@entry("root_value", "SELECT n_name AS path, n_regionkey::BIGINT AS v FROM nation")
+def root_value(spark, sf):
+    """A value that is put at a table's root replaces all that stood there."""
+    t = _nation_table(spark, sf)
+    regions = {r["n_name"]: r["n_regionkey"] for r in S.table(spark, sf, "nation").collect()}
+    with t.write() as w:
+        w.store_value("", of(regions))
+    return t.read().nodes().where("size(segs) > 0").select("path", F.col("v_int").cast("long").alias("v"))
+
+
+@entry("stale_variant", "SELECT 'nation/' || n_nationkey || '/state/New' AS path, n_name AS value FROM nation")
+def stale_variant(spark, sf):
+    """A union value that replaces another of its kind leaves no field of the old variant."""
+    t = _nation_table(spark, sf)
+    names = {r["n_nationkey"]: r["n_name"] for r in S.table(spark, sf, "nation").collect()}
+    for variant in (lambda k: {"Old": {"n": k, "name": names[k]}}, lambda k: {"New": names[k]}):
+        with t.write() as w, w.staged() as s:
+            for k in names:
+                s.store_value(f"nation/{k}/state", variant(k))
+    return t.read().nodes().where("size(segs) > 3").select("path", F.col("v_str").alias("value"))
+
+
+@document(via=(str, lambda p: f"{p.region}:{p.nation}", lambda t: _Place(*map(int, t.split(":")))))
+@dataclass
+class _Place:
+    region: int
+    nation: int
+
+
+@document(rename_all="SCREAMING_SNAKE_CASE")
+@dataclass
+class _Office:
+    place: _Place
+    title: str = attr(rename="label", alias=["name"])
+    draft: int = attr(skip=True, default=5)
+    seen: int = attr(skip_load=True, default=0)
+    sent: int = attr(skip_store=True, default=1)
+
+
+_OFFICE_FIELDS = "(VALUES ('PLACE'), ('SEEN'), ('label')) t(f)"
+
+
+@entry("typed_fields", f"SELECT 'office/' || n_nationkey || '/' || f AS path, CASE f WHEN 'PLACE' THEN n_regionkey || ':' || n_nationkey WHEN 'label' THEN n_name END AS text, CASE f WHEN 'SEEN' THEN n_nationkey::BIGINT END AS v FROM nation, {_OFFICE_FIELDS}")
+def typed_fields(spark, sf):
+    """What a typed value stores: other names, a stand-in for a field's type, and nothing of fields that aren't stored."""
+    return _offices(spark, sf).read().nodes().where("kind = 'leaf'").select("path", F.col("v_str").alias("text"), F.col("v_int").cast("long").alias("v"))
+
+
+def _offices(spark, sf):
+    from treelace.sources.store import Database
+
+    t = Database.in_memory(spark).open_table("office")
+    rows = S.table(spark, sf, "nation").collect()
+    with t.write() as w:
+        w.store_many([(f"office/{r['n_nationkey']}", _Office(_Place(r["n_regionkey"], r["n_nationkey"]), r["n_name"], 9, r["n_nationkey"], 9)) for r in rows])
+    return t
+
+
+@entry("typed_load", "SELECT n_nationkey::BIGINT AS nation, n_regionkey::BIGINT AS region, n_name AS title, 5::BIGINT AS draft, 0::BIGINT AS seen, 1::BIGINT AS sent FROM nation")
+def typed_load(spark, sf):
+    """Typed documents read back through an index: fields that aren't loaded have their defaults."""
+    t = _offices(spark, sf)
+    t.create_index(IndexDef("by_label", "office/*", (IndexColumn.asc("label"),)))
+    rows = [(o.place.nation, o.place.region, o.title, o.draft, o.seen, o.sent) for o in t.read().query("by_label").load(_Office)]
+    return N.local_frame(spark, rows, T.StructType([T.StructField(n, T.StringType() if n == "title" else T.LongType()) for n in ("nation", "region", "title", "draft", "seen", "sent")]))
+
+
+@entry("index_registry", "SELECT * FROM (VALUES (1, 'created'), (2, 'there'), (3, 'mismatch'), (4, 'kept'), (5, 'known'), (6, 'arity'), (7, 'deleted'), (8, 'gone'), (9, 'not found')) t(step, got)")
+def index_registry(spark, sf):
+    """What creating, repeating, ensuring, asking for and deleting an index of a table answer."""
+    t = _nation_table(spark, sf)
+    other = IndexDef("by_name", "nation/*", (IndexColumn.desc("n_name"),))
+
+    def error(f) -> str:
+        try:
+            f()
+        except TreeError as e:
+            return {SchemaMismatch: "mismatch", IndexArity: "arity", IndexNotFound: "not found"}[type(e)]
+        return "no error"
+
+    rows = [
+        (1, "created" if t.create_index(BY_NAME) else "there"),
+        (2, "created" if t.create_index(BY_NAME) else "there"),
+        (3, error(lambda: t.create_index(other))),
+        (4, "changed" if t.ensure_index(other) else "kept"),
+        (5, "known" if t.has_index("by_name") and t.index_def("by_name") == BY_NAME else "unknown"),
+        (6, error(lambda: t.read().find("by_name", ["A", "B"]))),
+        (7, "deleted" if t.delete_index("by_name") else "gone"),
+        (8, "deleted" if t.delete_index("by_name") else "gone"),
+        (9, error(lambda: t.read().find("by_name"))),
+    ]
+    return N.local_frame(spark, rows, T.StructType([T.StructField("step", T.IntegerType()), T.StructField("got", T.StringType())]))
+
+
+@entry("lost_update_refused", "SELECT 'nation/3/n_name' AS path, 'first' AS value, true AS refused")
+def lost_update_refused(spark, sf):
+    """Of two handles that began from the same generation the second to commit fails, and the first's write stays."""
+    from treelace.sources.store import Database
+
+    t = _nation_table(spark, sf)
+    first, second = t.write(), Database.open(spark, t.db._files.root).open_table("nation").write()
+    first.put("nation/3/n_name", "first")
+    second.put("nation/3/n_name", "second")
+    first.commit()
+    try:
+        second.commit()
+        refused = False
+    except CommitConflict:
+        refused = True
+    return N.leaf_at(t.read().nodes(), ["nation/3/n_name"]).select("path", F.col("v_str").alias("value"), F.lit(refused).alias("refused"))
+
+
 # ---- lists
 
 _L = f"WITH b AS ({_RANKED_LINES}), l AS (SELECT l_orderkey AS k, pos, l_quantity AS v, n FROM b), ks AS (SELECT DISTINCT k, n FROM l) "
@@ -621,6 +766,30 @@ def json_scalar_forms(spark, sf):
     return e.select("event_id", t(F.col("event_id"), T.LongType()).alias("i"), t(F.col("user_id") > 10, T.BooleanType()).alias("b"), t(F.lit(None).cast("string"), T.StringType()).alias("n"), t(F.col("ts").cast("date"), T.DateType()).alias("d"), t(F.lit(bytes([0, 1, 2, 255])), T.BinaryType()).alias("x"))
 
 
+@entry("json_bytes", "SELECT doc_id, '\"' || base64(encode(text)) || '\"' AS text FROM documents")
+def json_bytes(spark, sf):
+    d = S.table(spark, sf, "documents")
+    return d.select("doc_id", export.json_column(F.col("text").cast("binary"), T.BinaryType()).alias("text"))
+
+
+_MILLIS = "((user_id % 100) * 86400000 + (event_id % 24) * 3600000 + event_id % 1000)"
+
+
+@entry("json_durations", f"SELECT event_id, ({_MILLIS} // 1000)::VARCHAR || CASE WHEN {_MILLIS} % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(({_MILLIS} % 1000)::VARCHAR, 3, '0'), '0') END AS text FROM events")
+def json_durations(spark, sf):
+    e = S.table(spark, sf, "events")
+    span = F.make_dt_interval((F.col("user_id") % 100).cast("int"), (F.col("event_id") % 24).cast("int"), F.lit(0), (F.col("event_id") % 1000).cast("decimal(18,6)") / 1000)
+    return e.select("event_id", export.json_column(span, T.DayTimeIntervalType()).alias("text"))
+
+
+@entry("yaml_nested", """SELECT conv_id, '"empty": {}' || chr(10) || '"turns":' || chr(10) || string_agg('  -' || chr(10) || '    "role": "' || role || '"' || chr(10) || '    "turn": ' || turn, chr(10) ORDER BY turn, role) AS text FROM conversations GROUP BY conv_id""")
+def yaml_nested(spark, sf):
+    c = S.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    doc = F.struct("turns", F.create_map().cast("map<string,long>").alias("empty"))
+    kind = T.StructType([c.schema["turns"], T.StructField("empty", T.MapType(T.StringType(), T.LongType()))])
+    return c.select("conv_id", export.yaml_column(doc, kind).alias("text"))
+
+
 @entry("json_float_forms", "SELECT * FROM (VALUES (1, '1'), (2, '0.0000001'), (3, '100000000000000000000'), (4, '1.5'), (5, '-0.25'), (6, 'null'), (7, 'null'), (8, '123456789.125')) t(id, text)")
 def json_float_forms(spark, sf):
     rows = [(1, 1.0), (2, 1e-7), (3, 1e20), (4, 1.5), (5, -0.25), (6, float("nan")), (7, float("inf")), (8, 123456789.125)]
