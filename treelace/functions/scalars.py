@@ -228,7 +228,9 @@ def leaf_columns(value: Column, label: str) -> dict[str, Column]:
         filled = F.unix_micros(value.cast("timestamp")).cast("decimal(38,0)") * F.lit(1000)
         filled = filled.cast("decimal(38,0)")
     elif label == "duration":
-        filled = (F.extract(F.lit("DAY"), value) * F.lit(86_400_000_000_000)).cast("decimal(38,0)")
+        part = lambda unit: F.extract(F.lit(unit), value).cast("decimal(20,6)")
+        seconds = ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60 + part("SECOND")
+        filled = (seconds * 10**9).cast("decimal(38,0)")
     elif where == "v_int":
         filled = value.cast("decimal(38,0)")
     elif where == "v_float":

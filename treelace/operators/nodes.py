@@ -27,6 +27,8 @@ NODE_SCHEMA = T.StructType(
     [T.StructField("path", T.StringType()), T.StructField("segs", T.ArrayType(T.StringType(), False)), T.StructField("skey", T.StringType()), T.StructField("kind", T.StringType()), *VALUE_SCHEMA.fields]
 )
 OBJECT, LIST, LEAF = "object", "list", "leaf"
+#: Nanoseconds of a day.
+DAY = 86_400_000_000_000
 #: Roots up to which a removal is a plain filter; more are an anti-join.
 FEW = 64
 
@@ -112,38 +114,88 @@ def _typed(leaf: Column, kind: T.DataType) -> Column:
         v = F.date_from_unix_date(leaf["v_int"].cast("int"))
     elif label == "datetime":
         v = F.timestamp_micros((leaf["v_int"] / 1000).cast("long")).cast(kind)
+    elif label == "duration":
+        v = F.make_dt_interval(days=F.floor(leaf["v_int"] / DAY).cast("int"), secs=(F.pmod(leaf["v_int"], F.lit(DAY)) / 10**9).cast("decimal(18,6)")).cast(kind)
     else:
         v = leaf[{"bool": "v_bool", "str": "v_str", "bytes": "v_bin", "f32": "v_float", "f64": "v_float"}.get(label, "v_int")].cast(kind)
     return F.when(leaf["tag"] == TAG[label], v)
 
 
-def _build(m: Column, kind: T.DataType, path: Column) -> Column:
-    at = lambda p: F.try_element_at(m, p)
+#: Steps of a template that stand for any list position and any map key.
+ITEM, KEY = object(), object()
+
+
+def _fixed(kind: T.DataType, rel: tuple[str, ...] = ()):
+    """(path, type) of a value and of all that a type places below it by name."""
+    yield rel, kind
     if isinstance(kind, T.StructType):
-        fields = [_build(m, f.dataType, F.when(path == "", F.lit(f.name)).otherwise(F.concat(path, F.lit("/" + f.name)))).alias(f.name) for f in kind.fields]
-        return F.when(at(path)["kind"] == OBJECT, F.struct(*fields))
+        for f in kind.fields:
+            yield from _fixed(f.dataType, (*rel, f.name))
+
+
+def _value(at, inner: dict, kind: T.DataType, rel: tuple[str, ...] = ()) -> Column:
+    """The typed value at a path of a block; at gives nodes by path, inner the lists and maps that were built before."""
+    if isinstance(kind, T.StructType):
+        return F.when(at(rel)["kind"] == OBJECT, F.struct(*[_value(at, inner, f.dataType, (*rel, f.name)).alias(f.name) for f in kind.fields]))
     if isinstance(kind, T.ArrayType):
-        n = F.size(F.filter(F.map_keys(m), lambda k: k.startswith(F.concat(path, F.lit("["))) & (F.instr(F.substr(k, F.length(path) + 2), "]") == F.length(k) - F.length(path) - 1)))
-        items = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: _build(m, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
-        return F.when(at(path)["kind"] == LIST, items)
+        return F.when(at(rel)["kind"] == LIST, F.coalesce(inner[rel], F.array().cast(kind)))
     if isinstance(kind, T.MapType):
-        start = F.when(path == "", F.lit("")).otherwise(F.concat(path, F.lit("/")))
-        names = F.filter(F.map_keys(m), lambda k: k.startswith(start) & (k != path) & ~F.regexp_like(F.substr(k, F.length(start) + 1), F.lit(r"[/\[]")))
-        pairs = F.transform(F.array_sort(names), lambda k: F.struct(F.substr(k, F.length(start) + 1).alias("key"), _build(m, kind.valueType, k).alias("value")))
-        return F.when(at(path)["kind"] == OBJECT, F.map_from_entries(pairs))
-    return _typed(at(path), kind)
+        return F.when(at(rel)["kind"] == OBJECT, F.coalesce(inner[rel], F.create_map().cast(kind)))
+    return _typed(at(rel), kind)
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType) or isinstance(kind, T.StructType) and any(_holds_map(f.dataType) for f in kind.fields)
+
+
+def _sorted(pairs: Column, kind: T.DataType) -> Column:
+    """Pairs by their first field, which no two share; a comparator only where maps forbid the plain order."""
+    if not _holds_map(kind):
+        return F.array_sort(pairs)
+    return F.array_sort(pairs, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+
+
+def _blocks(nodes: DataFrame, template: tuple, kind: T.DataType) -> DataFrame:
+    """(block, value): the values at a template's places, by their segments.
+
+    A block is what a type places by name; lists and maps in it are built from blocks of their own,
+    grouped by the container, so the work grows with the nodes and not with their squares.
+    """
+    n, fixed = len(template), list(_fixed(kind))
+    cond = (F.size("segs") >= n) & (F.size("segs") <= n + max(len(r) for r, _ in fixed))
+    for k, s in enumerate(template):
+        if s is ITEM or s is KEY:
+            cond = cond & (F.get("segs", k).startswith("[") if s is ITEM else ~F.get("segs", k).startswith("["))
+        elif s != WILD:
+            cond = cond & (F.get("segs", k) == s)
+    rel = F.array_join(F.slice("segs", F.lit(n + 1), F.size("segs")), "/")
+    rows = nodes.where(cond).select(F.slice("segs", F.lit(1), F.lit(n)).alias("block"), rel.alias("k"), F.struct("kind", "tag", *VALUE_COLUMNS).alias("v"))
+    rows = rows.where(F.col("k").isin(["/".join(r) for r, _ in fixed]))
+    if len(fixed) == 1:
+        at = lambda r: F.col("v")
+    else:
+        rows = rows.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+        at = lambda r: F.try_element_at("m", F.lit("/".join(r)))
+    inner = {}
+    for j, (r, c) in enumerate((r, c) for r, c in fixed if isinstance(c, (T.ArrayType, T.MapType))):
+        is_map = isinstance(c, T.MapType)
+        item = c.valueType if is_map else c.elementType
+        last = F.element_at("block", -1)
+        key = last if is_map else F.substr(last, F.lit(2), F.length(last) - 2).cast("int")
+        pairs = _sorted(F.collect_list(F.struct(key.alias("key"), F.col("value"))), item)
+        whole = F.map_from_entries(pairs) if is_map else F.transform(pairs, lambda x: x["value"])
+        below = _blocks(nodes, (*template, *r, KEY if is_map else ITEM), item)
+        rows = rows.join(below.groupBy(F.slice("block", F.lit(1), F.lit(n)).alias("block")).agg(whole.alias(f"in{j}")), "block", "left")
+        inner[r] = F.col(f"in{j}")
+    return rows.select("block", _value(at, inner, kind).alias("value"))
 
 
 def recompose(nodes: DataFrame, pattern: str, kind: T.DataType) -> DataFrame:
     """(ekey, path, doc): the entities of a pattern, rebuilt as a type. What is missing or of another kind is null."""
     p = Pattern.parse(pattern)
-    n = len(p.segments)
-    below = nodes.where(_under_pattern(p))
-    rel = path_text(F.slice("segs", F.lit(n + 1), F.size("segs")))
-    leaf = F.struct("kind", "tag", *VALUE_COLUMNS)
-    entity = path_text(F.slice("segs", F.lit(1), F.lit(n)))
-    grouped = below.groupBy(entity.alias("path"), F.get("segs", n - 1).alias("ekey") if n else F.lit("").alias("ekey")).agg(F.map_from_entries(F.collect_list(F.struct(rel.alias("k"), leaf.alias("v")))).alias("m"))
-    return grouped.select("ekey", "path", _build(F.col("m"), kind, F.lit("")).alias("doc"))
+    template = tuple(f"[{s}]" if isinstance(s, int) else s for s in p.segments)
+    ekey = F.element_at("block", -1) if template else F.lit("")
+    return _blocks(nodes, template, kind).select(ekey.alias("ekey"), path_text(F.col("block")).alias("path"), F.col("value").alias("doc"))
 
 
 def load_value(nodes: DataFrame, path: str | Path = "") -> Value | None:
