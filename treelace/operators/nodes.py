@@ -272,16 +272,26 @@ def without(nodes: DataFrame, roots: list[Path]) -> DataFrame:
         return nodes.where(~cond)
     spark = nodes.sparkSession
     for depth in sorted({len(r.segments) for r in roots}):
-        keys = local_frame(spark, [(str(r),) for r in roots if len(r.segments) == depth], _named("root"))
-        here = F.when(F.size("segs") >= depth, path_text(F.slice("segs", F.lit(1), F.lit(depth))))
-        nodes = nodes.withColumn("root", here).join(keys, "root", "left_anti").drop("root")
-    return nodes.select(*NODE_SCHEMA.names)
+        nodes = cut(nodes, local_frame(spark, [(str(r),) for r in roots if len(r.segments) == depth], _named("root")), depth)
+    return nodes
+
+
+def cut(nodes: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """Nodes outside the subtrees of roots(root), all of which have so many segments."""
+    here = F.when(F.size("segs") >= depth, path_text(F.slice("segs", F.lit(1), F.lit(depth))))
+    return nodes.withColumn("root", here).join(roots, "root", "left_anti").select(*NODE_SCHEMA.names)
 
 
 def store_many(nodes: DataFrame, items: list[tuple[str | Path, object]], table: str = "", generation: int = 0) -> DataFrame:
-    """Put values at paths, each replacing what stood there; missing containers on the way are made.
+    """Put values at paths, each replacing what stood there; missing containers on the way are made, in one plan."""
+    rows, gone = store_rows(nodes, items, table, generation)
+    return without(nodes, gone).unionByName(local_frame(nodes.sparkSession, rows, NODE_SCHEMA))
+
+
+def store_rows(nodes: DataFrame, items: list[tuple[str | Path, object]], table: str = "", generation: int = 0) -> tuple[list[tuple], list[Path]]:
+    """(rows, gone) of store_many: the nodes that come and the roots of the subtrees that go first.
 
-    No path may lie within another. One query looks up all ancestors; the change is one plan.
+    No path may lie within another. One query looks up all ancestors.
     Writing through a leaf or into the wrong kind of container raises UnexpectedNode; a list takes
     its length as the position that appends, and raises IndexOutOfRange beyond it.
     """
@@ -320,8 +330,7 @@ def store_many(nodes: DataFrame, items: list[tuple[str | Path, object]], table:
         if kinds[str(path)] == LIST:
             sizes[str(path)] = len(value.data)
         rows += value_rows(path, value, table, generation, keys)
-    kept = without(nodes, [p for p, _ in todo if str(p) in found])
-    return kept.unionByName(local_frame(spark, rows, NODE_SCHEMA))
+    return rows, [p for p, _ in todo if str(p) in found]
 
 
 def _reposition(nodes: DataFrame, path: Path, index: Column) -> DataFrame:
@@ -329,8 +338,12 @@ def _reposition(nodes: DataFrame, path: Path, index: Column) -> DataFrame:
 
     Only the list's own nodes are written anew; all others stay as they are.
     """
-    moved = written(_renumbered(nodes.where(within(F.col("path"), path)), path, index))
-    return nodes.where(~within(F.col("path"), path)).unionByName(moved)
+    return nodes.where(~within(F.col("path"), path)).unionByName(renumbered(nodes, path, index))
+
+
+def renumbered(nodes: DataFrame, path: Path, index: Column) -> DataFrame:
+    """The list's own nodes after that, as a table of their own."""
+    return written(_renumbered(nodes.where(within(F.col("path"), path)), path, index))
 
 
 def _renumbered(nodes: DataFrame, path: Path, index: Column) -> DataFrame:
@@ -354,28 +367,41 @@ def remove(nodes: DataFrame, path: str | Path) -> DataFrame:
         return rest
     if nodes.where(F.col("path") == str(p)).isEmpty():  # nothing moves unless something goes
         return nodes
+    return _reposition(rest, p.parent(), closing(last))
+
+
+def closing(gone: int) -> Column:
+    """New positions of a list that has lost an item."""
     at = F.col("at")
-    return _reposition(rest, p.parent(), F.when(at > last, at - 1).otherwise(at))
+    return F.when(at > gone, at - 1).otherwise(at)
 
 
 def list_move(nodes: DataFrame, path: str | Path, source: int, target: int) -> DataFrame:
     """Move an item; keys move along. A source beyond the list is an error, a target beyond it is its end."""
-    p, n = Path.parse(path), list_len(nodes, path)
+    return _reposition(nodes, Path.parse(path), moving(nodes, path, source, target))
+
+
+def moving(nodes: DataFrame, path: str | Path, source: int, target: int) -> Column:
+    """New positions of a list of which an item moves."""
+    n = list_len(nodes, path)
     if source >= n:
         raise IndexOutOfRange(source, n)
     to, at = min(target, n - 1), F.col("at")
     if source <= to:
-        new = F.when(at == source, to).when((at > source) & (at <= to), at - 1).otherwise(at)
-    else:
-        new = F.when(at == source, to).when((at >= to) & (at < source), at + 1).otherwise(at)
-    return _reposition(nodes, p, new)
+        return F.when(at == source, to).when((at > source) & (at <= to), at - 1).otherwise(at)
+    return F.when(at == source, to).when((at >= to) & (at < source), at + 1).otherwise(at)
 
 
 def list_swap(nodes: DataFrame, path: str | Path, i: int, j: int) -> DataFrame:
+    return _reposition(nodes, Path.parse(path), swapping(nodes, path, i, j))
+
+
+def swapping(nodes: DataFrame, path: str | Path, i: int, j: int) -> Column:
+    """New positions of a list of which two items change places."""
     n, at = list_len(nodes, path), F.col("at")
     if max(i, j) >= n:
         raise IndexOutOfRange(max(i, j), n)
-    return _reposition(nodes, Path.parse(path), F.when(at == i, j).when(at == j, i).otherwise(at))
+    return F.when(at == i, j).when(at == j, i).otherwise(at)
 
 
 def list_len(nodes: DataFrame, path: str | Path) -> int:
