@@ -86,8 +86,8 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) over distinct fingerprints fps(fp) whose components are those of 'within two bits'."""
     pairs = list(combinations(range(4), 2))
     posting = fps.select("fp", F.explode(F.array(*[_key(F.col("fp"), i, j) for i, j in pairs])).alias("key"))
-    # a list is cut off past MAX_POSTING + 1 on both sides of the shuffle by the bounded aggregate below
-    sizes = posting.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
+    # sizes are counted before any list is gathered, so the lists below hold MAX_POSTING fingerprints at most
+    sizes = posting.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes, "simhash-lists")
     met = posting.join(sizes, "key")
     short = met.where(F.col("n") <= MAX_POSTING).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
