@@ -464,6 +464,38 @@ def lost_update_refused(spark, sf):
     return N.leaf_at(t.read().nodes(), ["nation/3/n_name"]).select("path", F.col("v_str").alias("value"), F.lit(refused).alias("refused"))
 
 
+@entry("change_sets", "SELECT 'customer/' || c_custkey AS path, CASE WHEN c_custkey % 3 = 0 THEN 'seg:' || c_mktsegment ELSE c_name END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS balance FROM customer WHERE c_custkey NOT IN (7, 8) UNION ALL SELECT 'customer/8', 'again', NULL WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = 8)")
+def change_sets(spark, sf):
+    """A table and four change sets over it: a bulk store of a third, two removals, and a store where one was."""
+    from treelace.sources.store import Database
+
+    c = S.table(spark, sf, "customer")
+    t = Database.in_memory(spark).open_table("customer")
+    with t.write() as w:
+        w.store_frame(c.select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), "customer/*", "c_custkey")
+    with t.write() as w:
+        w.store_frame(c.where("c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit("seg:"), "c_mktsegment").alias("name")), "customer/*", "c_custkey")
+    for key in (7, 8):
+        with t.write() as w:
+            w.remove(f"customer/{key}")
+    with t.write() as w:
+        w.put("customer/8/name", "again")
+    kind = T.StructType([T.StructField("name", T.StringType()), T.StructField("balance", T.DoubleType())])
+    return t.read().recompose("customer/*", kind).select("path", "doc.*")
+
+
+@entry("folded_changes", "SELECT 'nation/' || n_nationkey AS path, CASE WHEN n_nationkey < 11 THEN 'edit' || n_nationkey ELSE n_name END AS name FROM nation")
+def folded_changes(spark, sf):
+    """Eleven commits of a put each, which fold change sets on the way, and a reader from before."""
+    t = _nation_table(spark, sf)
+    keys = sorted(r[0] for r in S.table(spark, sf, "nation").select("n_nationkey").collect())
+    for k in keys:
+        if k < 11:
+            with t.write() as w:
+                w.put(f"nation/{k}/n_name", f"edit{k}")
+    return N.at_pattern(t.read().nodes(), "nation/*/n_name").select(F.regexp_replace("path", "/n_name$", "").alias("path"), F.col("v_str").alias("name"))
+
+
 # ---- lists
 
 _L = f"WITH b AS ({_RANKED_LINES}), l AS (SELECT l_orderkey AS k, pos, l_quantity AS v, n FROM b), ks AS (SELECT DISTINCT k, n FROM l) "
@@ -678,6 +710,14 @@ def node_list_move(spark, sf):
     return _list_items(N.list_move(n, path, 0, 999))
 
 
+@entry("list_children", _O + "SELECT 'o/' || l_orderkey || '/xs[' || pos || ']' AS path, l_quantity AS v, (pos + 1)::BIGINT AS rank FROM l, o WHERE l_orderkey = k")
+def list_children(spark, sf):
+    """Children of a list, by position."""
+    n, path = _all_lists(spark, sf)
+    rows = written(N.children(n, path).select("path", F.col("v_float").alias("v"), F.monotonically_increasing_id().alias("at")))
+    return rows.select("path", "v", F.row_number().over(Window.orderBy("at")).cast("long").alias("rank"))  # the items of one list
+
+
 @entry("clear_children", "SELECT 1::BIGINT + 4 * count(*) FILTER (c_custkey <> 42) AS nodes FROM customer")
 def clear_children(spark, sf):
     return N.clear_children(_customer_nodes(spark, sf), "customer/42").agg(F.count("*").alias("nodes"))
@@ -815,6 +855,47 @@ def value_merge_kinds(spark, sf):
     return spark.createDataFrame(rows, "kind string, text string")
 
 
+def _edited(spark, sf, edit: Callable) -> DataFrame:
+    """(n_nationkey, text): JSON of a dynamic value that edit makes of each nation's row on the driver, which a fixed table allows."""
+    rows = [(r["n_nationkey"], export.to_json(edit(r))) for r in S.table(spark, sf, "nation").collect()]
+    return N.local_frame(spark, rows, T.StructType([S.table(spark, sf, "nation").schema["n_nationkey"], T.StructField("text", T.StringType())]))
+
+
+@entry("value_edits", """SELECT n_nationkey, '{"gone":' || (CASE WHEN n_regionkey = 0 THEN 'null' ELSE '"x"' END) || ',"has":' || (CASE WHEN n_regionkey = 0 THEN 'true' ELSE 'false' END) || ',"kind":"object","name":"' || n_name || '","none":{}}' AS text FROM nation""")
+def value_edits(spark, sf):
+    """Nodes: insert, contains_key, remove_key and clear."""
+
+    def edit(r):
+        v = of({"name": r["n_name"], "none": {"a": 1}, "gone": "x"})
+        v.get("none").clear()
+        if r["n_regionkey"] == 0:
+            v.get("gone").clear()
+        v.insert("kind", v.kind)
+        v.insert("has", v.contains_key("gone") and v.remove_key("gone").as_leaf().label == "null")
+        v.insert("gone", None if v.get("has") == of(True) else "x")
+        return v
+
+    return _edited(spark, sf, edit)
+
+
+@entry("value_list_edits", """SELECT n_nationkey, '[' || n_regionkey || ',"' || n_name || '",' || (CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE '[]' END) || ',"beyond"]' AS text FROM nation""")
+def value_list_edits(spark, sf):
+    """Lists: push, remove_at within the list and beyond it, at, and items that replace others."""
+
+    def edit(r):
+        v = of([0, r["n_regionkey"]])
+        v.push(r["n_name"])
+        v.remove_at(0)
+        v.push([] if r["n_nationkey"] % 2 else True)
+        try:
+            v.remove_at(9)
+        except IndexError:
+            v.push("beyond" if v.at(9) is None else "there")
+        return v
+
+    return _edited(spark, sf, edit)
+
+
 # ---- typed mapping
 
 
