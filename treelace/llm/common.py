@@ -32,7 +32,7 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     if spark.conf.get(_BATCH_CONF, None) in (None, "64m", "67108864b"):  # the default; texts are long
-        spark.conf.set(_BATCH_CONF, "16m")
+        spark.conf.set(_BATCH_CONF, "4m")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     top = os.path.dirname(root)
     data = io.BytesIO()
